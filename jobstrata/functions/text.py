@@ -47,17 +47,29 @@ def compat_map():
     return _letter_map("NFKD", lambda c: unicodedata.combining(c) != 0)
 
 
+def _char_class(chars) -> str:
+    """Regex class of the characters, written as ranges so matching stays cheap."""
+    codes, out = sorted(ord(c) for c in chars), []
+    start = previous = codes[0]
+    for code in [*codes[1:], None]:
+        if code is None or code != previous + 1:
+            out.append(f"\\x{{{start:X}}}-\\x{{{previous:X}}}")
+            start = code
+        previous = code
+    return "[" + "".join(out) + "]"
+
+
 def _apply_map(col: Column, pairs) -> Column:
     single, multi = pairs
     out = F.translate(col, "".join(a for a, _ in single), "".join(b for _, b in single))
     if multi:
-        heads = "[" + "".join(a for a, _ in multi) + "]"
         table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
-        # only the rare rows that hold such a character are taken apart
+        # only the rare rows that still hold such a character are taken apart
+        holds = out.rlike(r"[^\x00-\x7F]") & out.rlike(_char_class(a for a, _ in multi))
         expanded = F.array_join(
             F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
         )
-        out = F.when(out.rlike(heads), expanded).otherwise(out)
+        out = F.when(holds, expanded).otherwise(out)
     return F.regexp_replace(out, r"\p{Mn}", "")
 
 
@@ -95,7 +107,7 @@ def search_normalize(col: Column) -> Column:
 def heal_lost_bytes(col: Column, repairs) -> Column:
     """Ordered pattern replacements for titles whose bytes are already gone."""
     for pattern, replacement in repairs:
-        col = F.regexp_replace(col, UNICODE.replace("U", "") + pattern, replacement)
+        col = F.regexp_replace(col, pattern, replacement)
     return col
 
 

@@ -222,11 +222,11 @@ SAMPLE_BUCKETS = [
 
 # --- repair of titles that already lost bytes: ordered (pattern, replacement) ----------------
 LOST_BYTE_REPAIRS = [
-    ("�ES", "ÇÕES"), ("�O\\b", "ÇÃO"), ("VEL\\b", "ÁVEL"),
+    ("\ufffdES", "ÇÕES"), ("\ufffdO(?![A-Za-z0-9_])", "ÇÃO"), ("VEL(?![A-Za-z0-9_])", "ÁVEL"),
     ("TCNICO", "TÉCNICO"), ("MDICO", "MÉDICO"), ("SADE", "SAÚDE"),
     ("COMRCIO", "COMÉRCIO"), ("MECNICO", "MECÂNICO"), ("GESTO", "GESTÃO"),
     ("CONSTRUO", "CONSTRUÇÃO"), ("INFORMAO", "INFORMAÇÃO"), ("DIREO", "DIREÇÃO"),
-    ("PRODUO", "PRODUÇÃO"), ("�", ""),
+    ("PRODUO", "PRODUÇÃO"), ("\ufffd", ""),
 ]
 
 # --- listing pages -------------------------------------------------------------------------
