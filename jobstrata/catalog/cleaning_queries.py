@@ -17,7 +17,7 @@ from jobstrata.operators.rows import (
 from jobstrata.plans.enrichment import enrich
 from jobstrata.schemas import ENRICHED_POSTING
 from jobstrata.sources.readers import compact_raw, export_search_corpus
-from jobstrata.sources.tables import STAR_POSTINGS_SQL, star_postings, table
+from jobstrata.sources.tables import STAR_POSTINGS_SQL, spread, star_postings, table
 from jobstrata.sources.titles import TITLED_SQL, titled_postings
 
 QUERIES, ORACLES = {}, {}
@@ -110,7 +110,7 @@ SRC = f"WITH {TITLED_SQL}, src AS (SELECT * FROM titled)"
 # --- text ------------------------------------------------------------------------------------
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def digest(col):
@@ -141,7 +141,7 @@ def search_normalize_query(spark, sf_dir):
 
 
 def _healed_sql():
-    x = "replace(replace(upper(text), 'É', chr(65533)), 'Ó', chr(65533))"
+    x = "replace(replace(upper(replace(text, 'ß', 'ss')), 'É', chr(65533)), 'Ó', chr(65533))"
     for pattern, replacement in vocab.LOST_BYTE_REPAIRS:
         if pattern.endswith("(?![A-Za-z0-9_])"):
             # \b: the last letter of the pattern is a word character, so only what follows decides
@@ -157,7 +157,7 @@ def _healed_sql():
 @query("heal_lost_bytes", f"SELECT doc_id, md5({_healed_sql()}) AS healed FROM documents")
 def heal_query(spark, sf_dir):
     """Upper-cased texts whose É and Ó were lost on the way."""
-    lost = F.translate(F.upper("text"), "ÉÓ", "��")
+    lost = F.translate(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), "ÉÓ", "\ufffd\ufffd")
     return documents(spark, sf_dir).select("doc_id", digest(heal_lost_bytes(lost, vocab.LOST_BYTE_REPAIRS)).alias("healed"))
 
 

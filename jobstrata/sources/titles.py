@@ -7,7 +7,7 @@ same titles.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobstrata.sources.tables import table
+from jobstrata.sources.tables import spread, table
 
 ROLES = [
     "Programador Java", "Enfermeiro", "Empregado de Mesa", "Técnico de Vendas Sénior", "Gestor de Marketing Digital",
@@ -46,7 +46,7 @@ TITLED_SQL = f"""titled AS (SELECT l_orderkey || '-' || l_linenumber AS record_i
 
 
 def titled_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "lineitem")
+    f = spread(table(spark, sf_dir, "lineitem"))
     f = f.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     f = f.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return f.select(
