@@ -41,7 +41,7 @@ def ingest_query(spark, sf_dir):
 def enrich_query(spark, sf_dir):
     base = work_dir(spark, "enrich")
     titles = table_stream(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"))
-    out = jobs.run_append(jobs.stream_enrich(titles), f"{base}/out", f"{base}/checkpoint")
+    out = jobs.run_append(titles, f"{base}/out", f"{base}/checkpoint", jobs.stream_enrich)
     return out.select("doc_id", *FLAG_SQL, "seniority", "job_category")
 
 

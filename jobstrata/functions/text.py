@@ -5,6 +5,7 @@ computed once on the driver from ``unicodedata``, followed by removal of any
 combining marks that were already separate.
 """
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -59,18 +60,28 @@ def _char_class(chars) -> str:
     return "[" + "".join(out) + "]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def is_ascii(col: Column) -> Column:
+    """True when every character takes one byte; costs no regex."""
+    return F.octet_length(col) == F.length(col)
+
+
 def _apply_map(col: Column, pairs) -> Column:
     single, multi = pairs
-    out = F.translate(col, "".join(a for a, _ in single), "".join(b for _, b in single))
-    if multi:
-        table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
-        # only the rare rows that still hold such a character are taken apart
+    # only the rare rows that still hold a character with a longer form are taken apart
+    table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+
+    def expand(out):
         holds = out.rlike(r"[^\x00-\x7F]") & out.rlike(_char_class(a for a, _ in multi))
-        expanded = F.array_join(
-            F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-        )
-        out = F.when(holds, expanded).otherwise(out)
-    return F.regexp_replace(out, r"\p{Mn}", "")
+        pieces = F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.when(holds, F.array_join(pieces, "")).otherwise(out)
+
+    mapped = F.translate(col, "".join(a for a, _ in single), "".join(b for _, b in single))
+    return F.regexp_replace(let(mapped, expand), r"\p{Mn}", "")
 
 
 def strip(col: Column) -> Column:
@@ -80,8 +91,8 @@ def strip(col: Column) -> Column:
 
 def fold(col: Column) -> Column:
     """Lower-case and drop diacritics (canonical decomposition)."""
-    single, multi = fold_map()
-    return _apply_map(F.lower(col), (single, multi))
+    low = F.lower(col)
+    return F.when(is_ascii(col), low).otherwise(_apply_map(low, fold_map()))
 
 
 def repair_mojibake(col: Column) -> Column:
@@ -89,19 +100,21 @@ def repair_mojibake(col: Column) -> Column:
     marked = col.rlike("[ÃÂ]|â€")
     latin1 = col.rlike(r"^[\x{0}-\x{FF}]*$")
     repaired = F.try_validate_utf8(F.encode(F.when(latin1, col), "ISO-8859-1").cast("string"))
-    return strip(F.when(marked & latin1, F.coalesce(repaired, col)).otherwise(col))
+    broken = ~is_ascii(col) & marked & latin1
+    return strip(F.when(broken, F.coalesce(repaired, col)).otherwise(col))
 
 
 def normalize_text(col: Column) -> Column:
     """Repair, compatibility-decompose, drop marks, lower-case; null becomes empty."""
-    return F.coalesce(F.lower(_apply_map(repair_mojibake(col), compat_map())), F.lit(""))
+    full = F.lower(_apply_map(repair_mojibake(col), compat_map()))
+    return F.coalesce(F.when(is_ascii(col), F.lower(strip(col))).otherwise(full), F.lit(""))
 
 
 def search_normalize(col: Column) -> Column:
     """Normal form of titles, categories and queries on the search side."""
-    flat = F.lower(_apply_map(repair_mojibake(col), fold_map()))
-    kept = F.regexp_replace(flat, r"(?U)[^a-z0-9+#.\s-]", " ")
-    return strip(F.regexp_replace(kept, r"(?U)\s+", " "))
+    full = F.lower(_apply_map(repair_mojibake(col), fold_map()))
+    flat = F.when(is_ascii(col), F.lower(col)).otherwise(full)
+    return F.btrim(F.regexp_replace(flat, r"(?U)(?:[^a-z0-9+#.-]|\s)+", " "))
 
 
 def heal_lost_bytes(col: Column, repairs) -> Column:
@@ -121,19 +134,25 @@ def title_case(col: Column) -> Column:
 
 
 def tokens(col: Column, stopwords) -> Column:
-    """Array of kept title tokens; stopwords and all-digit tokens are dropped in the array."""
-    found = F.regexp_extract_all(normalize_text(col), F.lit(r"([a-z0-9+#.]{2,})"), 1)
-    stops = F.array(*[F.lit(s) for s in dict.fromkeys(stopwords)])
-    return F.filter(found, lambda t: ~F.array_contains(stops, t) & ~t.rlike(r"^[0-9]+$"))
+    """Array of kept title tokens, found by one pattern.
+
+    A token is a whole run of two or more of ``a-z0-9+#.`` that is neither a stopword nor
+    all digits; dropping those here keeps them out of every later explode and shuffle.
+    """
+    run = "[a-z0-9+#.]"
+    listed = [re.escape(w) for w in dict.fromkeys(stopwords) if re.fullmatch(run + "{2,}", w)]
+    dropped = "|".join([*listed, "[0-9]+"])
+    pattern = f"((?<!{run})(?!(?:{dropped})(?!{run})){run}{{2,}})"
+    return F.regexp_extract_all(normalize_text(col), F.lit(pattern), 1)
 
 
 def bigrams(token_array: Column) -> Column:
     """Adjacent pairs of a token array, as 'a b'."""
-    return F.zip_with(
-        F.slice(token_array, 1, F.greatest(F.size(token_array) - 1, F.lit(0))),
-        F.slice(token_array, 2, F.greatest(F.size(token_array) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
+    def pairs(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return let(token_array, pairs)
 
 
 def word_count(col: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobstrata import vocab
-from jobstrata.functions.text import strip
+from jobstrata.functions.text import let, strip
 
 
 @dataclass(frozen=True)
@@ -77,32 +77,38 @@ def absolute_url(href: Column, rules: SiteRules) -> Column:
 def unwrap_replay(url: Column, rules: SiteRules) -> Column:
     """Drop the archive replay prefix, as often as the site nests it."""
     head = "^" if rules.unwrap_anchored else r"^(?s:.*?)"
-    pattern = "(?i)" + head + rules.replay_prefix
-    pattern += r"(https?://.+)" if rules.unwrap_absolute_only else r"(.+)"
+    target = r"(https?://.+)" if rules.unwrap_absolute_only else r"(.+)"
     for _ in range(rules.unwrap_levels):
-        url = F.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1)).otherwise(url)
+        url = F.regexp_replace(url, "(?i)" + head + rules.replay_prefix + target, "$1")
     return url
 
 
-def canonical_url(href: Column, rules: SiteRules) -> Column:
-    """Canonical posting URL, or null when the link is not a posting of the site."""
+def resolve_url(href: Column, rules: SiteRules) -> Column:
+    """Link target without replay prefix, absolute where the site's links are relative."""
+    raw = strip(href)
+    if not rules.require_job_url:
+        replayed = raw.rlike("(?i)" + rules.replay_prefix)
+        return F.when(replayed, unwrap_replay(raw, rules)).otherwise(absolute_url(href, rules))
+    return unwrap_replay(absolute_url(href, rules) if rules.resolve_relative else raw, rules)
+
+
+def is_posting_url(url: Column, rules: SiteRules) -> Column:
+    """Whether a resolved URL is a posting of the site."""
     if not rules.require_job_url:
-        raw = strip(href)
-        return F.when(raw.rlike("(?i)" + rules.replay_prefix), unwrap_replay(raw, rules)).otherwise(
-            absolute_url(href, rules)
-        )
-    url = unwrap_replay(absolute_url(href, rules) if rules.resolve_relative else strip(href), rules)
-    accepted = None
-    for pattern in rules.job_patterns:
-        hit = url.rlike("(?iU)" + pattern)
-        accepted = hit if accepted is None else (accepted | hit)
+        return url.isNotNull()
+    accepted = url.rlike("(?iU)" + "|".join(f"(?:{p})" for p in rules.job_patterns))
     accepted = accepted & ~url.rlike("(?i)" + rules.asset_pattern)
     if rules.nav_pattern:
         accepted = accepted & ~url.rlike("(?i)" + rules.nav_pattern)
     if rules.check_host:
         host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
         accepted = accepted & host.contains(rules.domain)
-    return F.when(accepted, url)
+    return accepted
+
+
+def canonical_url(href: Column, rules: SiteRules) -> Column:
+    """Canonical posting URL, or null when the link is not a posting of the site."""
+    return let(resolve_url(href, rules), lambda url: F.when(is_posting_url(url, rules), url))
 
 
 def record_key(url: Column, ts: Column = None, title: Column = None, mode: str = "url") -> Column:

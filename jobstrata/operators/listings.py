@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from jobstrata import vocab
 from jobstrata.functions.rules import normalise_date_posted
-from jobstrata.functions.urls import SiteRules, canonical_url, era_site, numbered_site, record_key, slug_site
+from jobstrata.functions.urls import (
+    SiteRules, era_site, is_posting_url, numbered_site, record_key, resolve_url, slug_site,
+)
 from jobstrata.schemas import LISTING_RECORD
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -71,7 +73,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.texts, self.owners, self._open, self._pending = [], [], [], [], ""
+        self.nodes, self.texts, self.classes, self._open, self._pending = [], [], set(), [], ""
         self.feed(html)
         self.close()
         self._flush()
@@ -82,7 +84,6 @@ class Page(HTMLParser):
         text, self._pending = self._pending.strip(), ""
         if text and not any(self.nodes[i].tag in _SILENT for i in self._open):
             self.texts.append(text)
-            self.owners.append(self._open[-1] if self._open else -1)
 
     def _shut(self):
         node = self.nodes[self._open.pop()]
@@ -94,6 +95,7 @@ class Page(HTMLParser):
         held = {k: v or "" for k, v in attrs}
         node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts))
         self.nodes.append(node)
+        self.classes.update(node.classes)
         self._open.append(node.index)
         if tag in _VOID:
             self._shut()
@@ -167,7 +169,8 @@ def _entry(layout, rank, href, title, company="", location="", date="", context=
 
 def _structured(page, profile, year):
     for rank, selector in enumerate(profile.container_selectors):
-        for box in page.select(selector):
+        css = _parsed(selector)[0][-1].css
+        for box in page.select(selector) if not css or css in page.classes else ():
             link = page.one("a[href]", box)
             if link is not None:
                 title = page.first_text_of(vocab.TITLE_SELECTORS, box) or page.text(link)
@@ -341,7 +344,7 @@ def _wanted_after(c):
 
 
 def _with_url(c, rules):
-    return F.struct(*[c[f.name].alias(f.name) for f in LISTING_RECORD], canonical_url(c["href"], rules).alias("url"))
+    return F.struct(*[c[f.name].alias(f.name) for f in LISTING_RECORD], resolve_url(c["href"], rules).alias("url"))
 
 
 def extract_listings(pages: DataFrame, profile: ListingProfile, page_url: str = "page_url", ts: str = "ts",
@@ -354,7 +357,7 @@ def extract_listings(pages: DataFrame, profile: ListingProfile, page_url: str =
     out = pages.select(F.col(page_url).alias("wayback_url"), F.col(ts).alias("arquivo_timestamp"),
                        F.col(year).alias("year"), page_candidates(F.col(html), F.col(year), profile).alias("_c"))
     out = out.withColumn("_c", F.transform("_c", lambda c: _with_url(c, profile.rules)))
-    out = out.withColumn("_c", F.filter("_c", lambda c: c["url"].isNotNull() & _wanted_before(c)))
+    out = out.withColumn("_c", F.filter("_c", lambda c: is_posting_url(c["url"], profile.rules) & _wanted_before(c)))
 
     def key(c):
         link = F.when(c["url"] == "", c["pos"].cast("string")).otherwise(c["url"])

@@ -123,13 +123,16 @@ def suggestions(corpus: DataFrame, order, labels: DataFrame = None, k: int = 50)
     ``labels`` are the report's category labels: each counts once more and comes first.
     """
     order = [order] if isinstance(order, str) else list(order)
-    ord_ = F.struct(*[F.col(c) for c in order])
-    pieces = corpus.select(ord_.alias("o"), F.inline(F.array(
-        F.struct(F.lit(1).alias("part"), F.col("title").alias("label"), F.col("norm_title").alias("norm")),
-        F.struct(F.lit(2).alias("part"), F.col("category").alias("label"), F.col("norm_category").alias("norm")),
-    ))).filter((F.col("label") != "") & F.length("norm").between(MIN_QUERY_LENGTH, 72))
-    counted = pieces.groupBy("norm").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("label", F.struct("o", "part")).alias("label"))
+    at = F.struct(*order, "part")
+    pieces = corpus.select(*order, F.inline(F.array(
+        F.struct(F.lit(1).alias("part"), F.col("title").alias("label")),
+        F.struct(F.lit(2).alias("part"), F.col("category").alias("label")),
+    ))).filter("label <> ''")
+    # spellings are counted first, so only distinct ones are normalised
+    spelled = pieces.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"))
+    counted = spelled.withColumn("norm", search_normalize(F.col("label"))).filter(
+        F.length("norm").between(MIN_QUERY_LENGTH, 72)
+    ).groupBy("norm").agg(F.sum("n").alias("n"), F.min_by("label", "at").alias("label"))
     if labels is not None:
         named = labels.select(F.col("label").alias("given")).withColumn("norm", search_normalize(F.col("given")))
         named = named.filter(F.length("norm").between(MIN_QUERY_LENGTH, 72)).groupBy("norm").agg(

@@ -183,7 +183,8 @@ def gender_by_category(cubes):
 def gender_decomposition(cubes):
     """Yearly rate against what the year's source mix alone would give."""
     mix = cubes.cube("year", "source")
-    rates = source_table(cubes, "gender_marker").select("source", "rate")
+    rates = source_table(cubes, ("gender_marker",)).select(
+        "source", rounded(F.col("rate_gender_marker"), 6).alias("rate"))
     known = F.when(F.col("source").isNotNull(), F.col("n_rows"))
     per_year = mix.join(rates, "source", "left").groupBy("year").agg(
         F.sum("n_rows").alias("n"), ratio(F.sum("n_gender_marker"), F.sum("n_rows")).alias("raw"),

@@ -5,56 +5,63 @@ from pyspark.sql import functions as F
 from jobstrata.config import FLAGS
 from jobstrata.functions.metrics import pct, period_name, ratio, rounded
 from jobstrata.operators.aggregates import (
-    coverage, duplicates, flag_totals, total_of, value_counts,
+    coverage, duplicates, flag_totals, value_counts,
 )
 from jobstrata.plans.registry import section
 
 
-def source_table(cubes, flag=None):
-    """Per source: baseline weight and flag rate (6 digits; other flags unrounded)."""
+def source_table(cubes, flags=FLAGS):
+    """Per source: baseline weight and the rate of each flag.
+
+    The adjusted flag's rate is rounded to 6 digits, the others are not.  One aggregation
+    serves all flags, since weights and rates share the key.
+    """
     s = cubes.settings
-    flag = flag or s.adjusted_flag
     lo, hi = s.baseline_years
-    in_base = F.col("year").between(lo, hi)
-    per_source = cubes.cube("year", "source").filter("source IS NOT NULL").groupBy("source").agg(
-        F.sum(F.when(in_base, F.col("n_rows")).otherwise(0)).alias("n_base"),
-        F.sum("n_rows").alias("n"), F.sum(f"n_{flag}").alias("positives"),
+    base_rows = F.when(F.col("year").between(lo, hi), F.col("n_rows")).otherwise(0)
+    by_year = cubes.cube("year", "source").filter("source IS NOT NULL")
+    per_source = by_year.groupBy("source").agg(
+        F.sum(base_rows).alias("n_base"), F.sum("n_rows").alias("n"),
+        *[F.sum(f"n_{f}").alias(f) for f in flags],
     )
-    rate = ratio(F.col("positives"), F.col("n"))
+
+    def rate(f):
+        r = ratio(F.col(f), F.col("n"))
+        return (rounded(r, 6) if f == s.adjusted_flag else r).alias(f"rate_{f}")
+
     return per_source.select(
-        "source", "n_base",
-        pct(F.col("n_base"), total_of(per_source, "n_base"), 6).alias("weight"),
-        (rounded(rate, 6) if flag == s.adjusted_flag else rate).alias("rate"),
+        "source", "n_base", pct(F.col("n_base"), by_year.agg(F.sum(base_rows)).scalar(), 6).alias("weight"),
+        *[rate(f) for f in flags],
     )
 
 
 @section("source_weights")
 def source_weights(cubes):
-    return source_table(cubes).filter("n_base > 0").select("source", "weight")
+    return source_table(cubes, ()).filter("n_base > 0").select("source", "weight")
 
 
 @section("source_rates")
 def source_rates(cubes):
-    return source_table(cubes).select("source", "rate")
+    f = cubes.settings.adjusted_flag
+    return source_table(cubes, (f,)).select("source", F.col(f"rate_{f}").alias("rate"))
+
+
+def _adjusted(flag):
+    return F.coalesce(rounded(F.sum(F.col("weight") * F.col(f"rate_{flag}"))), F.lit(0.0))
 
 
 @section("composition_adjusted_rate")
 def composition_adjusted_rate(cubes):
     """Rate of every flag if the source mix stayed at the baseline."""
-    out = None
-    for f in FLAGS:
-        one = source_table(cubes, f).agg(
-            F.coalesce(rounded(F.sum(F.col("weight") * F.col("rate"))), F.lit(0.0)).alias("adjusted_rate")
-        ).select(F.lit(f).alias("flag"), "adjusted_rate")
-        out = one if out is None else out.unionByName(one)
-    return out
+    sums = source_table(cubes).agg(*[_adjusted(f).alias(f) for f in FLAGS])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("flag"), F.col(f).alias("adjusted_rate")) for f in FLAGS])))
 
 
 def adjusted_rate(cubes):
     """Scalar subquery of the adjusted rate of the configured flag."""
-    return source_table(cubes).agg(
-        F.coalesce(rounded(F.sum(F.col("weight") * F.col("rate"))), F.lit(0.0))
-    ).scalar()
+    f = cubes.settings.adjusted_flag
+    return source_table(cubes, (f,)).agg(_adjusted(f)).scalar()
 
 
 @section("archive_confidence")
@@ -196,25 +203,24 @@ def kpis(cubes):
         F.min_by("year", F.struct(F.col("n"), F.col("year"))).alias("trough_year"),
         F.min("n").alias("trough_year_count"), F.sum("n").alias("total_ads"),
     )
-    clean = clean_companies(cubes)
-    located = F.col("location_extracted").isNotNull()
-
-    def one(frame, expr):
-        return frame.agg(expr).scalar()
-
-    total = F.col("total_ads")
-    return years.select(
-        "total_ads",
-        one(cube, F.count_distinct("job_category")).alias("unique_categories"),
-        one(cube, F.count_distinct("location_extracted")).alias("unique_locations"),
-        one(clean, F.count_distinct("company_extracted")).alias("unique_companies_clean"),
-        "year_span", "year_min", "year_max", "peak_year", "peak_year_count", "trough_year", "trough_year_count",
+    located = F.when(F.col("location_extracted").isNotNull(), F.col("n_rows")).otherwise(0)
+    totals = cube.agg(F.struct(
+        F.count_distinct("job_category").alias("categories"), F.count_distinct("location_extracted").alias("places"),
+        F.sum(located).alias("located"), F.sum(f"n_{s.adjusted_flag}").alias("gender"),
+        F.sum("n_is_internship").alias("interns"),
+    )).scalar()
+    companies = clean_companies(cubes).agg(F.struct(
+        F.count_distinct("company_extracted").alias("names"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("ads"),
+    )).scalar()
+    joined = years.withColumns({"t": totals, "c": companies, "gender_marker_rate_adjusted": adjusted_rate(cubes)})
+    return joined.select(
+        "total_ads", F.col("t.categories").alias("unique_categories"), F.col("t.places").alias("unique_locations"),
+        F.col("c.names").alias("unique_companies_clean"), "year_span", "year_min", "year_max", "peak_year",
+        "peak_year_count", "trough_year", "trough_year_count",
         (F.col("trough_year_count") < s.sparse_year).alias("trough_is_sparse_archive"),
-        one(cube, F.sum(F.when(located, F.col("n_rows")).otherwise(0))).alias("ads_with_location"),
-        one(clean, F.coalesce(F.sum("n_rows"), F.lit(0))).alias("ads_with_company_clean"),
-        pct(one(cube, F.sum(f"n_{s.adjusted_flag}")), total).alias("gender_marker_rate_raw"),
-        adjusted_rate(cubes).alias("gender_marker_rate_adjusted"),
-        pct(one(cube, F.sum("n_is_internship")), total).alias("internship_rate"),
+        F.col("t.located").alias("ads_with_location"), F.col("c.ads").alias("ads_with_company_clean"),
+        pct(F.col("t.gender"), F.col("total_ads")).alias("gender_marker_rate_raw"), "gender_marker_rate_adjusted",
+        pct(F.col("t.interns"), F.col("total_ads")).alias("internship_rate"),
         F.lit(True).alias("remote_hint_suppressed"),
     )
 

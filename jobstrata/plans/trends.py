@@ -100,9 +100,9 @@ def flags_by_year(cubes):
 
 def long_run(cubes):
     by_year = category_by_year(cubes)
-    years = cubes.cube("year")
-    first, last = years.agg(F.min("year")).scalar(), years.agg(F.max("year")).scalar()
-    marked = by_year.withColumn("first_year", first).withColumn("last_year", last)
+    bounds = cubes.cube("year", "job_category").agg(
+        F.struct(F.min("year").alias("first"), F.max("year").alias("last"))).scalar()
+    marked = by_year.withColumn("b", bounds).withColumns({"first_year": F.col("b.first"), "last_year": F.col("b.last")})
 
     def at(edge, value):
         return F.sum(F.when(F.col("year") == F.col(edge), F.col(value)).otherwise(0))

@@ -14,6 +14,7 @@ from jobstrata.operators.snapshots import min_gap_sample, snapshot_day
 from jobstrata.plans.enrichment import enrich
 from jobstrata.schemas import RAW_POSTING
 from jobstrata.sources.readers import raw_glob
+from jobstrata.sources.tables import spread
 from jobstrata.streaming.files import landed, prepare_landing, run_to_end, write_batch
 
 
@@ -61,11 +62,11 @@ def run_counts(counts: DataFrame, path: str, checkpoint: str, keys) -> DataFrame
         F.max_by("records", "batch_id").alias("records"))
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Append a stateless stream to a table."""
-    spark, schema = stream.sparkSession, deepcopy(stream.schema)
-    prepare_landing(spark, path, stream.schema)
-    run_to_end(stream.writeStream.foreachBatch(lambda b, i: write_batch(b, path, i)), checkpoint)
+def run_append(stream: DataFrame, path: str, checkpoint: str, transform=lambda df: df) -> DataFrame:
+    """Append a stream to a table, each batch passed through a stateless projection."""
+    spark, schema = stream.sparkSession, transform(stream).schema
+    prepare_landing(spark, path, deepcopy(schema))
+    run_to_end(stream.writeStream.foreachBatch(lambda b, i: write_batch(transform(spread(b)), path, i)), checkpoint)
     return landed(spark, path, deepcopy(schema)).drop("batch_id")
 
 
