@@ -1,8 +1,7 @@
 """Text normalisation as Column expressions.
 
 Spark has no Unicode normaliser, so folding is a ``translate`` over a character map
-computed once on the driver from ``unicodedata``, followed by removal of any
-combining marks that were already separate.
+computed once on the driver from ``unicodedata``; the same pass deletes combining marks.
 """
 
 import re
@@ -16,26 +15,25 @@ from pyspark.sql import functions as F
 ICASE = "(?iUd)"
 UNICODE = "(?Ud)"
 
-_BMP = range(0x80, 0x10000)
+_DECOMPOSABLE = range(0x80, 0x30000)
 # what Python's str.strip() removes
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _letter_map(form: str, drop) -> tuple:
-    """(single-character pairs, multi-character pairs) of a decomposition without marks."""
-    single, multi = [], []
-    for code in _BMP:
-        ch = chr(code)
-        if 0xD800 <= code <= 0xDFFF or drop(ch):
+    """Decomposition without marks: (one-to-one pairs, one-to-many pairs, marks to delete)."""
+    single, multi, marks = [], [], []
+    for code in _DECOMPOSABLE:
+        # surrogates are no characters; Hangul syllables decompose into letters, not marks
+        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
             continue
+        ch = chr(code)
         flat = "".join(c for c in unicodedata.normalize(form, ch) if not drop(c))
-        if flat != ch and 0xAC00 <= code <= 0xD7A3:
-            continue  # Hangul syllables decompose into letters, not into marks
-        if flat != ch and len(flat) == 1:
-            single.append((ch, flat))
-        elif flat != ch and flat:
-            multi.append((ch, flat))
-    return tuple(single), tuple(multi)
+        if not flat:
+            marks.append(ch)
+        elif flat != ch:
+            (single if len(flat) == 1 else multi).append((ch, flat))
+    return tuple(single), tuple(multi), "".join(marks)
 
 
 @lru_cache(maxsize=None)
@@ -70,8 +68,8 @@ def is_ascii(col: Column) -> Column:
     return F.octet_length(col) == F.length(col)
 
 
-def _apply_map(col: Column, pairs) -> Column:
-    single, multi = pairs
+def _apply_map(col: Column, letters) -> Column:
+    single, multi, marks = letters
     # only the rare rows that still hold a character with a longer form are taken apart
     table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
 
@@ -80,8 +78,9 @@ def _apply_map(col: Column, pairs) -> Column:
         pieces = F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
         return F.when(holds, F.array_join(pieces, "")).otherwise(out)
 
-    mapped = F.translate(col, "".join(a for a, _ in single), "".join(b for _, b in single))
-    return F.regexp_replace(let(mapped, expand), r"\p{Mn}", "")
+    # translate deletes the characters that have no counterpart: the marks
+    mapped = F.translate(col, "".join(a for a, _ in single) + marks, "".join(b for _, b in single))
+    return let(mapped, expand)
 
 
 def strip(col: Column) -> Column:

@@ -73,7 +73,8 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.texts, self.classes, self._open, self._pending = [], [], set(), [], ""
+        self.nodes, self.texts, self._open, self._pending = [], [], [], ""
+        self.classes, self.tags = set(), set()
         self.feed(html)
         self.close()
         self._flush()
@@ -96,6 +97,7 @@ class Page(HTMLParser):
         node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts))
         self.nodes.append(node)
         self.classes.update(node.classes)
+        self.tags.add(tag)
         self._open.append(node.index)
         if tag in _VOID:
             self._shut()
@@ -131,8 +133,10 @@ class Page(HTMLParser):
         return not above
 
     def select(self, selectors, within=None):
-        wanted = _parsed(selectors)
-        return [n for n in self.inside(within) if any(self._matches(n, steps) for steps in wanted)]
+        # chains whose class or tag the page never uses cannot match
+        wanted = [s for s in _parsed(selectors) if (not s[-1].css or s[-1].css in self.classes)
+                  and (not s[-1].tag or s[-1].tag in self.tags)]
+        return [n for n in self.inside(within) if any(self._matches(n, s) for s in wanted)] if wanted else []
 
     def one(self, selectors, within=None):
         return next(iter(self.select(selectors, within)), None)
@@ -169,8 +173,7 @@ def _entry(layout, rank, href, title, company="", location="", date="", context=
 
 def _structured(page, profile, year):
     for rank, selector in enumerate(profile.container_selectors):
-        css = _parsed(selector)[0][-1].css
-        for box in page.select(selector) if not css or css in page.classes else ():
+        for box in page.select(selector):
             link = page.one("a[href]", box)
             if link is not None:
                 title = page.first_text_of(vocab.TITLE_SELECTORS, box) or page.text(link)

@@ -95,7 +95,7 @@ def test_tokens(spark):
     assert got == [["programador", "c++", ".net", "c#"], ["parar", "3d"]]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(st.characters(min_codepoint=32, max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn", "Cf")),
                         max_size=20), min_size=1, max_size=40))
 def test_fold_equals_unicodedata(spark, values):

@@ -13,6 +13,7 @@ from jobstrata.operators.aggregates import add_share
 from jobstrata.operators.rows import dedup_first, prepare_dataset, union_sources
 from jobstrata.plans.enrichment import build_dataset, enrich
 from jobstrata.plans.inputs import PostingCubes
+from jobstrata.plans.registry import SECTIONS
 from jobstrata.plans.report import build_report, report_document, write_report
 from jobstrata.schemas import ENRICHED_POSTING
 from jobstrata.sources import readers, writers
@@ -253,11 +254,12 @@ def test_reference_file_layouts(spark, tmp_path):
 def test_report_document(spark, sf_dir, tmp_path):
     rows = star_postings(spark, sf_dir)
     cubes = PostingCubes(rows, STAR_SETTINGS, order=("record_id",))
-    sections = build_report(cubes)
+    sections = build_report(cubes, [
+        "metadata", "kpis", "ts.yearly_volume", "ts.category_by_year", "dist.flags", "loc.category_mix", "company.top",
+        "lang.bigrams_by_period", "deep_dive.summary", "vulnerability"])
     saved = write_report(sections, str(tmp_path / "r"))
     direct = PostingCubes(lambda c: star_postings(spark, sf_dir, c), STAR_SETTINGS)
     for name in ("ts.category_by_year", "kpis", "company.top"):
-        from jobstrata.plans.registry import SECTIONS
         assert sorted(map(str, saved[name].collect())) == sorted(map(str, SECTIONS[name](direct).collect()))
     text = report_document(saved, max_rows=60).first().document
     doc = json.loads(text)
