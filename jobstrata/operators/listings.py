@@ -6,6 +6,8 @@ the candidate array of the same row, so the whole extraction is one narrow stage
 """
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -74,7 +76,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes, self.texts, self._open, self._pending = [], [], [], ""
-        self.classes, self.tags = set(), set()
+        self.by_class, self.by_tag = defaultdict(list), defaultdict(list)
         self.feed(html)
         self.close()
         self._flush()
@@ -96,8 +98,9 @@ class Page(HTMLParser):
         held = {k: v or "" for k, v in attrs}
         node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts))
         self.nodes.append(node)
-        self.classes.update(node.classes)
-        self.tags.add(tag)
+        self.by_tag[tag].append(node.index)
+        for css in dict.fromkeys(node.classes):
+            self.by_class[css].append(node.index)
         self._open.append(node.index)
         if tag in _VOID:
             self._shut()
@@ -118,9 +121,6 @@ class Page(HTMLParser):
     def text(self, node, joiner=""):
         return joiner.join(self.texts[node.first_text:node.last_text])
 
-    def inside(self, node):
-        return self.nodes[node.index + 1:node.end] if node is not None else self.nodes
-
     def _matches(self, node, steps):
         *above, last = steps
         if not last.fits(node):
@@ -132,14 +132,24 @@ class Page(HTMLParser):
             up = self.nodes[up].parent
         return not above
 
+    def _pool(self, step, within):
+        """Indexes inside an element that share the step's class or tag, ascending."""
+        low, high = (within.index + 1, within.end) if within is not None else (0, len(self.nodes))
+        listed = self.by_class.get(step.css, ()) if step.css else self.by_tag.get(step.tag, ())
+        return listed[bisect_left(listed, low):bisect_left(listed, high)]
+
     def select(self, selectors, within=None):
-        # chains whose class or tag the page never uses cannot match
-        wanted = [s for s in _parsed(selectors) if (not s[-1].css or s[-1].css in self.classes)
-                  and (not s[-1].tag or s[-1].tag in self.tags)]
-        return [n for n in self.inside(within) if any(self._matches(n, s) for s in wanted)] if wanted else []
+        """Matching elements in document order."""
+        found = {i for steps in _parsed(selectors) for i in self._pool(steps[-1], within)
+                 if self._matches(self.nodes[i], steps)}
+        return [self.nodes[i] for i in sorted(found)]
 
     def one(self, selectors, within=None):
-        return next(iter(self.select(selectors, within)), None)
+        """First matching element."""
+        firsts = (next((i for i in self._pool(steps[-1], within) if self._matches(self.nodes[i], steps)), None)
+                  for steps in _parsed(selectors))
+        best = min((i for i in firsts if i is not None), default=None)
+        return None if best is None else self.nodes[best]
 
     def first_text_of(self, selectors, within, longer_than=0):
         """Text of the first element of each selector, in selector order, first long enough."""
