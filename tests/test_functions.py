@@ -145,6 +145,6 @@ def test_record_key(spark):
 
 
 def test_safe_url(spark):
-    got = apply(spark, ["http://a.b/c", "//x.y", "Arquivo.PT/p", " ", None, "two words"],
+    got = apply(spark, ["http://a.b/c", "//x.y", "Archive.PT/p", " ", None, "two words"],
                 lambda c: safe_external_url(c, "F"))
-    assert got == ["http://a.b/c", "https://x.y", "https://arquivo.pt/p", "F", "F", "F"]
+    assert got == ["http://a.b/c", "https://x.y", "https://archive.pt/p", "F", "F", "F"]

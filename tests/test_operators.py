@@ -238,7 +238,7 @@ def test_raw_to_dataset(spark, raw_tree, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
 
 
-def test_reference_file_layouts(spark, tmp_path):
+def test_small_file_layouts(spark, tmp_path):
     (tmp_path / "ann.json").write_text('{"1": {"company": "A", "company_conf": 0.9}}')
     assert readers.read_annotation_map(spark, str(tmp_path / "ann.json")).first().company == "A"
     (tmp_path / "cats.json").write_text('["Novo", null, "IT", "Turismo"]')
