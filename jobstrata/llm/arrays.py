@@ -118,3 +118,49 @@ def record_batch(schema, *columns):
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema)
+
+
+class Known:
+    """Ids of text spans seen before, by 64-bit span hash, in flat arrays; a full store starts anew."""
+
+    def __init__(self, learn, limit=1_500_000):
+        self.learn, self.limit = learn, limit
+        self._clear()
+
+    def _clear(self):
+        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.size = np.zeros(1 << 16, np.int32), 0
+
+    def _add(self, hashes, spans):
+        """Learns the spans, whose hashes are sorted; `learn` gives all ids in a row and their count by span."""
+        ids, counts = self.learn(spans)
+        starts = self.size + np.cumsum(counts) - counts
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        self.flat[self.size:self.size + len(ids)] = ids
+        self.size += len(ids)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.counts = (
+            np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.starts, starts), (self.counts, counts)))
+
+    def ids(self, data, starts, ends):
+        """The ids of all spans in a row, and the count by span."""
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        unique, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+
+        def missing():
+            at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+            return np.flatnonzero(self.hashes[at] != unique) if len(self.hashes) else np.arange(len(unique))
+
+        new = missing()
+        if len(new) and len(self.hashes) + len(new) > self.limit:
+            self._clear()
+            new = missing()
+        if len(new):
+            raw = data.tobytes()
+            self._add(unique[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        at = np.searchsorted(self.hashes, unique)[inverse]
+        counts = self.counts[at].astype(np.int64)
+        before = np.cumsum(counts) - counts
+        return self.flat[np.repeat(self.starts[at] - before, counts) + np.arange(counts.sum())], counts
