@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobstrata.llm import byte_bpe, language_id, packing, quality_rules, sharding, token_counts
+from jobstrata.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
 from jobstrata.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary files; every machine has them at the same place.
@@ -23,6 +23,14 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), WORD_PIECES)
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+def op3_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -47,4 +55,4 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op4_quality_rules, op6_byte_bpe, op7_sharding, op9_packing, op10_language_id)}
+    op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op6_byte_bpe, op7_sharding, op9_packing, op10_language_id)}
