@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobstrata.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
+from jobstrata.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search
 from jobstrata.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary files; every machine has them at the same place.
@@ -44,6 +44,10 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op8_topk_search(spark, sf_dir):
+    return topk_search.top_k(embeddings(spark, sf_dir))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), WORD_MERGES)
 
@@ -55,4 +59,4 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op6_byte_bpe, op7_sharding, op9_packing, op10_language_id)}
+    op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op6_byte_bpe, op7_sharding, op8_topk_search, op9_packing, op10_language_id)}
