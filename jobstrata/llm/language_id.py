@@ -137,6 +137,21 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def prediction(spark, filters):
+    """The UDF text -> (lang_pred, score); SLOTS words for each 64 languages go to every executor."""
+    shared = spark.sparkContext.broadcast(filters)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.predict(batch.column("text"))
+                 for batch in arrays.pieces([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
+        return pa.StructArray.from_arrays(
+            [pa.array([lang for langs, _ in parts for lang in langs], pa.string()),
+             pa.array(np.concatenate([np.zeros(0), *(scores for _, scores in parts)]), pa.float64())], ["lang_pred", "score"])
+
+    return predict
+
+
 def identify(docs, filters):
     """Every row's doc_id, lang_pred and score, from its whole text alone.
 
@@ -144,15 +159,9 @@ def identify(docs, filters):
     the first language by name, with score 0; ties go the same way. Without learned languages all is `und`.
     Null ids and repeated rows pass as they are; other columns are ignored.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words for each 64 languages
-
-    def run(batches):
-        for batch in arrays.pieces(batches, "text"):
-            yield arrays.record_batch(schema, batch.column("doc_id"), *shared.value.predict(batch.column("text")))
-
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, lang_pred string, score double"))
+    predict = prediction(docs.sparkSession, filters)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), predict(F.col("text").cast("string")).alias("p"))
+            .select("doc_id", "p.lang_pred", "p.score"))
 
 
 def learn(docs):

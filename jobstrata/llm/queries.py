@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobstrata.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search
+from jobstrata.llm import (byte_bpe, html_extraction, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup,
+                           token_counts, topk_search)
 from jobstrata.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary files; every machine has them at the same place.
@@ -35,6 +36,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_extraction.extract(pages(spark, sf_dir))
+
+
 def op6_byte_bpe(spark, sf_dir):
     encoded = byte_bpe.encode(documents(spark, sf_dir), BYTE_RANKS)
     return byte_bpe.digests(byte_bpe.decode(encoded, BYTE_RANKS))
@@ -59,4 +64,5 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op6_byte_bpe, op7_sharding, op8_topk_search, op9_packing, op10_language_id)}
+    op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op5_html_extraction, op6_byte_bpe,
+    op7_sharding, op8_topk_search, op9_packing, op10_language_id)}

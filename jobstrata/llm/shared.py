@@ -3,13 +3,15 @@
 import tempfile
 
 
-def saved(df):
-    """The frame, computed once and kept in the folder of `spark.checkpoint.dir`.
-
-    The cluster names that folder. Only where it is unset, as in tests, a local one is made.
-    """
-    context = df.sparkSession.sparkContext
+def folder(spark):
+    """The folder of `spark.checkpoint.dir`. Only where that is unset, as in tests, a local one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(df):
+    """The frame, computed once and kept in the shared folder; Spark removes the files when nothing uses them."""
+    folder(df.sparkSession)
     return df.checkpoint()
