@@ -59,13 +59,15 @@ def _blocks(candidates, queries, slices, sides):
 def _each(left, right, choose):
     """Rows (query_id, vec_id) that `choose` finds in the score rows of a few queries at a time."""
     ids, names = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+    if not len(ids) or not len(names):
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64())})
     candidates, queries = _matrix(left.column("part"), len(ids)), _matrix(right.column("part"), len(names))
     out = []
     for start in range(0, len(names), 128):
         own = names[start:start + 128, None] == ids[None, :]
         q, c = choose(_scores(queries[start:start + 128], candidates), own, start)
         out.append((names[start + q], ids[c]))
-    q, c = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+    q, c = (np.concatenate([o[i] for o in out]) for i in (0, 1))
     return pa.table({"query_id": q, "vec_id": c})
 
 
