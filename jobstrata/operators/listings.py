@@ -11,6 +11,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,7 @@ class Node:
     end: int = 0
     first_text: int = 0
     last_text: int = 0
+    place: int = 0
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,8 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes, self.texts, self._open, self._pending = [], [], [], ""
         self.by_class, self.by_tag = defaultdict(list), defaultdict(list)
+        self.children = defaultdict(list)  # by parent: elements, or the texts of bare strings (blank ones as "")
+        self._found = {}
         self.feed(html)
         self.close()
         self._flush()
@@ -84,8 +88,13 @@ class Page(HTMLParser):
             self._shut()
 
     def _flush(self):
+        if not self._pending:
+            return
         text, self._pending = self._pending.strip(), ""
-        if text and not any(self.nodes[i].tag in _SILENT for i in self._open):
+        if any(self.nodes[i].tag in _SILENT for i in self._open):
+            return
+        self.children[self._open[-1] if self._open else -1].append(text)
+        if text:
             self.texts.append(text)
 
     def _shut(self):
@@ -96,8 +105,10 @@ class Page(HTMLParser):
         self._flush()
         parent = self._open[-1] if self._open else -1
         held = {k: v or "" for k, v in attrs}
-        node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts))
+        node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts),
+                    place=len(self.children[parent]))
         self.nodes.append(node)
+        self.children[parent].append(node)
         self.by_tag[tag].append(node.index)
         for css in dict.fromkeys(node.classes):
             self.by_class[css].append(node.index)
@@ -117,6 +128,7 @@ class Page(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
+        self.children[self._open[-1] if self._open else -1].append("")
 
     def text(self, node, joiner=""):
         return joiner.join(self.texts[node.first_text:node.last_text])
@@ -160,25 +172,28 @@ class Page(HTMLParser):
         return ""
 
     def texts_after(self, node):
-        """Texts of the siblings behind a node, elements and bare strings alike."""
-        limit = self.nodes[node.parent].last_text if node.parent >= 0 else len(self.texts)
-        at, out = node.last_text, []
-        siblings = [n for n in self.nodes[node.end:] if n.parent == node.parent]
-        while at < limit:
-            owner = next((s for s in siblings if s.first_text <= at < s.last_text), None)
-            out.append(self.text(owner) if owner else self.texts[at])
-            at = owner.last_text if owner else at + 1
-        return out
+        """Texts of the siblings behind a node, elements, comments and bare strings alike, blank ones as "" ."""
+        for child in islice(self.children[node.parent], node.place + 1, None):
+            yield child if isinstance(child, str) else self.text(child)
+
+    def signs(self, index):
+        """The editorial words and the first date inside an element, or in the page for -1; found once each."""
+        if index not in self._found:
+            whole = self.text(self.nodes[index], " ") if index >= 0 else " ".join(self.texts)
+            self._found[index] = tuple(m.group(0) if m else "" for m in (_EDITORIAL.search(whole), _DATE.search(whole)))
+        return self._found[index]
 
 
 _DATE = re.compile(vocab.DATE_PATTERN)
 _JOB_LINK = re.compile(vocab.JOB_LINK_PATTERN, re.I)
 _CHROME = re.compile(vocab.CHROME_TEXT_PATTERN, re.I)
+_EDITORIAL = re.compile(vocab.EDITORIAL_TEXT_PATTERN, re.I)
 
 
-def _entry(layout, rank, href, title, company="", location="", date="", context=""):
+def _entry(layout, rank, href, title, company="", location="", date="", context="", stamp=""):
+    """A candidate; `context` holds what later filters look at, `stamp` the first date around it, never whole texts."""
     return {"layout": layout, "rank": rank, "href": href, "title": title, "company": company, "location": location,
-            "date_posted": date, "context": context}
+            "date_posted": date, "context": context, "stamp": stamp}
 
 
 def _structured(page, profile, year):
@@ -217,12 +232,10 @@ def _headings(page, profile, year):
 
 def _era_anchors(page, rank):
     for a in page.select("a[href]"):
-        text = page.text(a)
-        parent = page.nodes[a.parent] if a.parent >= 0 else None
-        near = [t for t in page.texts_after(parent)[:3] if 2 < len(t) < 80 and not _DATE.search(t)] if parent else []
-        around = page.text(parent, " ") if parent is not None else ""
-        yield _entry("era_anchors", rank, a.attrs["href"], text, near[0][:60] if near else "",
-                     context=f"{around} {text}")
+        near = islice(page.texts_after(page.nodes[a.parent]), 3) if a.parent >= 0 else ()
+        company = next((t for t in near if 2 < len(t) < 80 and not _DATE.search(t)), "")
+        editorial, date = page.signs(a.parent)
+        yield _entry("era_anchors", rank, a.attrs["href"], page.text(a), company[:60], context=editorial, stamp=date)
 
 
 def _grid(page, rank):
@@ -231,7 +244,7 @@ def _grid(page, rank):
         link = (page.one("a[href]", cells[0]) if cells[0] is not None else None) or page.one("a[href]", item)
         title, company, place, stamp = [page.text(c) if c is not None else "" for c in cells]
         yield _entry("grid", rank, link.attrs["href"] if link else "", title or (page.text(link) if link else ""),
-                     company, place[:60], stamp, page.text(item, " "))
+                     company, place[:60], stamp, stamp=page.signs(item.index)[1])
 
 
 def _home(page, rank):
@@ -242,9 +255,8 @@ def _home(page, rank):
         long = [a for a in links if len(page.text(a)) > 8 and not _CHROME.search(page.text(a))]
         link = next(iter(jobs or long), None)
         if link is not None:
-            near = [t for t in page.texts_after(link) if len(t) > 2 and not _DATE.search(t)]
-            yield _entry("home", rank, link.attrs["href"], page.text(link), near[0][:60] if near else "",
-                         context=page.text(box, " "))
+            company = next((t for t in page.texts_after(link) if len(t) > 2 and not _DATE.search(t)), "")
+            yield _entry("home", rank, link.attrs["href"], page.text(link), company[:60], stamp=page.signs(box.index)[1])
 
 
 def _results(page, rank, domain):
@@ -261,11 +273,13 @@ def _results(page, rank, domain):
         yield _entry("results", rank, link.attrs["href"] if link else "",
                      title or (page.text(link) if link else "") or before[:120].strip(),
                      page.first_text_of([".empresa", ".company", ".entidade", ".empregador"], box, longer_than=1),
-                     after.split("|")[0].strip()[:60], context=whole)
+                     after.split("|")[0].strip()[:60], context=whole[:80], stamp=date.group(0) if date else "")
 
 
 def _by_era(page, profile, year):
-    """First and second choice of layout for the page's year."""
+    """First and second choice of layout for the page's year; none for a page without a year."""
+    if year is None:
+        return
     if year >= 2016:
         yield from _results(page, 0, profile.rules.domain)
         yield from _grid(page, 1)
@@ -307,22 +321,22 @@ def era_profile(source: str, domain: str) -> ListingProfile:
     return ListingProfile(source, era_site(domain), ("by_era",), "snapshot_url", True)
 
 
-def page_candidates(html: Column, year: Column, profile: ListingProfile) -> Column:
-    """Array of candidate entries of a page, in document order per layout."""
+def page_candidates(html: Column, year: Column, profile: ListingProfile, layout: str) -> Column:
+    """Array of candidate entries of a page in one layout, in document order; none for a null page."""
     names = [f.name for f in LISTING_RECORD]
 
     def read(source, page_year):
-        if not source:
+        if not isinstance(source, str) or not source:
             return []
-        page = Page(source)
-        found = [e for layout in profile.layouts for e in _LAYOUTS[layout](page, profile, int(page_year))]
+        found = _LAYOUTS[layout](Page(source), profile, None if pd.isna(page_year) else int(page_year))
         return [{**{n: e.get(n) for n in names}, "pos": i} for i, e in enumerate(found)]
 
     @F.pandas_udf(T.ArrayType(LISTING_RECORD))
     def candidates(sources: pd.Series, years: pd.Series) -> pd.Series:
         return pd.Series([read(s, y) for s, y in zip(sources, years)])
 
-    return candidates(html, year)
+    # kept apart from the projections around it, so that a page is read once a layout and never inside a lambda
+    return candidates.asNondeterministic()(html, year)
 
 
 def text_blocked(text: Column) -> Column:
@@ -351,34 +365,51 @@ def _wanted_after(c):
         F.when(layout == "era_anchors", ~c["context"].rlike("(?iU)" + vocab.EDITORIAL_TEXT_PATTERN))
         .when(layout.isin("grid", "home"), (F.length(title) >= 3) & ~title.rlike(chrome))
         # this layout looks for chrome words at the head of the box only
-        .when(layout == "results", (F.length(title) >= 3) & ~F.substring(c["context"], 1, 80).rlike(chrome))
+        .when(layout == "results", (F.length(title) >= 3) & ~c["context"].rlike(chrome))
         .otherwise(F.lit(True))
     )
 
 
+_FOUND = T.ArrayType(T.StructType([*LISTING_RECORD.fields, T.StructField("url", T.StringType())]))
+
+
 def _with_url(c, rules):
     return F.struct(*[c[f.name].alias(f.name) for f in LISTING_RECORD], resolve_url(c["href"], rules).alias("url"))
 
 
+def _first_by_link(entries: Column) -> Column:
+    """The first entry of each rank and link, in order; sorting keeps this near-linear for large pages."""
+    def key(c):
+        link = F.when(c["url"] == "", c["pos"].cast("string")).otherwise(c["url"])
+        return F.concat_ws("|", c["rank"].cast("string"), link)
+
+    def firsts(ordered):
+        found = F.filter(ordered, lambda x, k: F.coalesce(F.get(ordered, k - 1)["key"] != x["key"], F.lit(True)))
+        return F.sort_array(F.transform(found, lambda x: x["at"]))
+
+    ordered = F.array_sort(F.transform(entries, lambda c, i: F.struct(key(c).alias("key"), i.alias("at"))))
+    places = F.flatten(F.transform(F.array(ordered), firsts))
+    return F.transform(places, lambda at: F.get(entries, at))
+
+
 def extract_listings(pages: DataFrame, profile: ListingProfile, page_url: str = "page_url", ts: str = "ts",
                      year: str = "year", html: str = "html") -> DataFrame:
     """Posting records of all pages.
 
     Per page the first layout (or container selector) that yields records is used, and each
-    canonical URL counts once, at its first position.
+    canonical URL counts once, at its first position.  A page is read again for the next
+    layout only if the one before left nothing.
     """
     out = pages.select(F.col(page_url).alias("wayback_url"), F.col(ts).alias("arquivo_timestamp"),
-                       F.col(year).alias("year"), page_candidates(F.col(html), F.col(year), profile).alias("_c"))
-    out = out.withColumn("_c", F.transform("_c", lambda c: _with_url(c, profile.rules)))
-    out = out.withColumn("_c", F.filter("_c", lambda c: is_posting_url(c["url"], profile.rules) & _wanted_before(c)))
-
-    def key(c):
-        link = F.when(c["url"] == "", c["pos"].cast("string")).otherwise(c["url"])
-        return F.concat_ws("|", c["rank"].cast("string"), link)
-
-    out = out.withColumn("_k", F.transform("_c", key))
-    out = out.withColumn("_c", F.filter("_c", lambda c, i: F.array_position(F.col("_k"), key(c)) == i + 1))
-    out = out.withColumn("_c", F.filter("_c", _wanted_after))
+                       F.col(year).alias("year"), F.col(html).alias("_html"), F.lit(None).cast(_FOUND).alias("_c"))
+    for layout in profile.layouts:
+        unread = F.when(F.coalesce(F.size("_c"), F.lit(0)) <= 0, F.col("_html"))
+        out = out.withColumn("_n", page_candidates(unread, F.col("year"), profile, layout))
+        out = out.withColumn("_n", F.transform("_n", lambda c: _with_url(c, profile.rules)))
+        out = out.withColumn("_n", F.filter("_n", lambda c: is_posting_url(c["url"], profile.rules) & _wanted_before(c)))
+        out = out.withColumn("_n", _first_by_link(F.col("_n")))
+        out = out.withColumn("_n", F.filter("_n", _wanted_after))
+        out = out.withColumn("_c", F.when(F.size("_n") > 0, F.col("_n")).otherwise(F.col("_c"))).drop("_n")
     out = out.withColumn("_best", F.array_min(F.transform("_c", lambda c: c["rank"])))
     rows = out.select("wayback_url", "arquivo_timestamp", "year",
                       F.inline(F.filter("_c", lambda c: c["rank"] == F.col("_best"))))
@@ -388,7 +419,7 @@ def extract_listings(pages: DataFrame, profile: ListingProfile, page_url: str =
             return F.when(x != "", x)
 
         date = F.coalesce(nonempty(normalise_date_posted(date)), nonempty(F.substring(date, 1, 10)),
-                          normalise_date_posted(F.col("context")))
+                          normalise_date_posted(F.col("stamp")))
     company = F.when(F.col("company") == vocab.ANONYMOUS_COMPANY, "").otherwise(F.col("company"))
     return rows.select(
         record_key(F.col("url"), F.col("arquivo_timestamp"), F.col("title"), profile.key_mode).alias("record_id"),

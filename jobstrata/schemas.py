@@ -43,5 +43,5 @@ SEARCH_CORPUS = _struct(("year", _I), ("title", _S), ("category", _S), ("url", _
 
 LISTING_RECORD = _struct(
     ("layout", _S), ("rank", _I), ("pos", _I), ("href", _S), ("title", _S), ("company", _S),
-    ("location", _S), ("date_posted", _S), ("context", _S),
+    ("location", _S), ("date_posted", _S), ("context", _S), ("stamp", _S),
 )
