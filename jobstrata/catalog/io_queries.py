@@ -1,11 +1,15 @@
 """Round trips through the file formats, on data taken from the tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.catalog.report_queries import star_cubes
-from jobstrata.catalog.report_sql import star
+from jobstrata.catalog.report_sql import REPORT_SQL, star
+from jobstrata.catalog.search_queries import LINE
 from jobstrata.plans.registry import SECTIONS
-from jobstrata.plans.report import report_document, write_report
+from jobstrata.plans.report import build_report, report_document, write_report
 from jobstrata.sources import readers, writers
 from jobstrata.sources.tables import document_postings, table
 from jobstrata.streaming.files import work_dir
@@ -42,6 +46,60 @@ def raw_json_query(spark, sf_dir):
     return back.select("record_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), "year")
 
 
+#: Sections whose bodies are compared: text key and number of each row.
+BODIES = {
+    "ts.yearly_volume": ("year", "rolling_3y_avg"), "ts.category_by_year": ("year|job_category", "share"),
+    "ts.flags_by_year": ("year", "rate_gender_marker_adjusted"), "dist.category": ("job_category", "share"),
+    "dist.seniority": ("seniority", "share"), "xt.category_x_seniority": ("job_category|seniority", "share"),
+    "internship.by_category": ("job_category", "intern_rate"), "gender.by_category": ("job_category", "gm_rate"),
+    "market.category_hhi_by_year": ("year", "hhi"), "loc.top_locations": ("location_extracted", "share"),
+    "company.top": ("company_extracted", "share"), "vulnerability": ("job_category", "vulnerability_index"),
+}
+
+
+def _keyed(columns):
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split("|"))
+
+
+@query("report_document_bodies", " UNION ALL ".join(
+    f"SELECT '{name}' AS section, {_keyed(key)} AS row_key, CAST({value} AS DOUBLE) AS number FROM ({REPORT_SQL[name]})"
+    for name, (key, value) in BODIES.items()))
+def report_bodies_query(spark, sf_dir):
+    """Twelve sections through the report document: built together, written, nested and read back by path."""
+    cubes = star_cubes(spark, sf_dir)
+    sections = build_report(cubes, BODIES)
+    types = {name: dict(df.dtypes) for name, df in sections.items()}
+    document = report_document(write_report(sections, f"{work_dir(spark, 'report')}/sections"))
+    cubes.release()
+    parts = []
+    for name, (key, value) in BODIES.items():
+        fields = ",".join(f"{c}:{types[name][c]}" for c in [*key.split("|"), value])
+        group, _, leaf = name.partition(".")
+        body = F.get_json_object("document", f"$.{group}.{leaf}" if leaf else f"$.{group}")
+        rows = document.select(F.inline(F.from_json(body, f"array<struct<{fields}>>")))
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key.split("|")]
+        parts.append(rows.select(F.lit(name).alias("section"), F.concat_ws("|", *keys).alias("row_key"), F.col(value).alias("number")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("custom_vocab_roundtrip", """SELECT DISTINCT p_name AS category FROM part""")
+def custom_vocab_roundtrip_query(spark, sf_dir):
+    """Labels of any number written by all tasks and read back."""
+    path = f"{work_dir(spark, 'labels')}/labels"
+    writers.write_custom_labels(table(spark, sf_dir, "part").select(F.col("p_name").alias("category")), path)
+    return readers.read_custom_labels(spark, path)
+
+
+@query("snapshot_index_file", """SELECT strftime(ts, '%Y%m%d%H%M%S') AS ts, CAST(CASE event_type WHEN 'view' THEN 200 END AS INTEGER) AS statuscode,
+    'site' AS site, CAST(7 AS INTEGER) AS seed_priority, 'http://site.example/' AS base_url FROM events WHERE event_type IN ('view', 'purchase')""")
+def snapshot_index_query(spark, sf_dir):
+    """An index file through the reader: answers other than 200 and lines without a timestamp are dropped."""
+    path = f"{work_dir(spark, 'index')}/lines"
+    e = table(spark, sf_dir, "events").withColumn("ts14", F.date_format("ts", "yyyyMMddHHmmss"))
+    e.select(F.expr(LINE).alias("value")).write.text(path)
+    return readers.snapshot_index_read(spark, path, "site", 7, "http://site.example/", status_position=2)
+
+
 @query("write_report_json", star("""SELECT '3.0' AS schema_version, CAST(count(*) AS VARCHAR) AS records,
     CAST(count(DISTINCT year) AS INTEGER) AS years, CAST(max(year) AS VARCHAR) AS last_year FROM postings"""))
 def report_query(spark, sf_dir):

@@ -12,7 +12,7 @@ from jobstrata.functions.urls import SiteRules, canonical_url, record_key
 from jobstrata.operators.listings import (
     ListingProfile, container_profile, era_profile, extract_listings, heading_profile, text_blocked,
 )
-from jobstrata.operators.snapshots import dedup_content
+from jobstrata.operators.snapshots import ARCHIVE_PREFIX, dedup_content
 from jobstrata.sources.tables import spread, table
 
 QUERIES, ORACLES = {}, {}
@@ -60,7 +60,7 @@ def dedup_content_query(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     both = p.withColumn("copy", F.lit(1)).unionByName(
         p.withColumns({"html": F.concat("html", F.lit("<!-- later -->")), "copy": F.lit(2)}))
-    return dedup_content(both, "html", ["page_id", "copy"]).select("page_id", "url")
+    return dedup_content(both, "html", ["page_id", "copy"], ARCHIVE_PREFIX).select("page_id", "url")
 
 
 BLOCKED = " OR ".join(has("text", p) for p in (

@@ -311,6 +311,35 @@ def min_gap_success_query(spark, sf_dir):
     return snapshots.min_gap_sample_success(rows, "site", days=3).select("site", "ts")
 
 
+YEARLY_SQL = """idx AS (SELECT (o_custkey % 20) || '-' || year(o_orderdate) AS site, strftime(o_orderdate, '%Y%m%d%H%M%S') AS ts,
+    o_orderkey AS event_id FROM orders)"""
+
+
+def orders_index(spark, sf_dir):
+    """Order dates as snapshots: several years, so gaps and caps meet the year boundary."""
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 20).alias("site"), F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("ts"),
+        F.col("o_orderkey").alias("event_id"))
+
+
+def with_year(df):
+    return df.select(F.concat_ws("-", F.col("site").cast("string"), F.substring("ts", 1, 4)).alias("site"), "ts")
+
+
+@query("min_gap_sample_yearly", f"WITH RECURSIVE {YEARLY_SQL}, {greedy('idx', 14)} SELECT site, ts FROM days JOIN kept USING (site, d)")
+def min_gap_yearly_query(spark, sf_dir):
+    return with_year(snapshots.min_gap_sample_yearly(orders_index(spark, sf_dir), "site", "ts", 14))
+
+
+@query("cap_per_year_limits", f"""WITH RECURSIVE {YEARLY_SQL}, {greedy('idx', 14)} SELECT site, ts FROM (SELECT site, ts,
+    row_number() OVER (PARTITION BY site ORDER BY ts) AS rn FROM days JOIN kept USING (site, d))
+    WHERE rn <= CASE substr(ts, 1, 4) WHEN '1996' THEN 3 WHEN '1997' THEN 5 ELSE 10 END""")
+def cap_limits_query(spark, sf_dir):
+    """Two years with their own limits, the others at the default."""
+    spaced = snapshots.min_gap_sample_yearly(orders_index(spark, sf_dir), "site", "ts", 14)
+    return with_year(snapshots.cap_per_year(spaced, "site", limits={1996: 3, 1997: 5}, default=10))
+
+
 @query("cap_per_year", f"""WITH RECURSIVE {INDEX_SQL}, {greedy('idx', 2)} SELECT site, ts FROM (SELECT site, ts,
     row_number() OVER (PARTITION BY site ORDER BY ts) AS rn FROM days JOIN kept USING (site, d)) WHERE rn <= 3""")
 def cap_query(spark, sf_dir):

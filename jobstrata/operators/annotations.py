@@ -21,13 +21,25 @@ def pending(df: DataFrame, done: DataFrame) -> DataFrame:
     return df.join(done.select("record_id"), "record_id", "left_anti")
 
 
-def make_batches(df: DataFrame, order, size: int = 50, bucket_digits: int = 2) -> DataFrame:
+BUCKET_ROWS = 16_384
+
+
+def bucket_digits_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits of the bucket hash so that a bucket holds about ``bucket_rows`` rows, two at least."""
+    digits = 2
+    while rows > bucket_rows * 16**digits:
+        digits += 1
+    return digits
+
+
+def make_batches(df: DataFrame, order, size: int = 50, bucket_digits: int = None) -> DataFrame:
     """Request batches of at most ``size`` items, in order.
 
-    Rows are numbered inside hash buckets (16^bucket_digits of them), never in one global
-    window; choose the digits so a bucket holds some thousand rows.  Every row lands in
-    exactly one batch and only the last batch of a bucket may be short.
+    Rows are numbered inside hash buckets, never in one global window.  The number of buckets
+    follows the row count, so a bucket holds some thousand rows at any volume.  Every row
+    lands in exactly one batch and only the last batch of a bucket may be short.
     """
+    bucket_digits = bucket_digits_for(df.count()) if bucket_digits is None else bucket_digits
     order = [order] if isinstance(order, str) else list(order)
     spread = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary"))
     w = Window.partitionBy("bucket").orderBy(*order)
@@ -44,7 +56,7 @@ def render_items(batches: DataFrame) -> DataFrame:
     """One text line per item of a batch."""
     def line(x):
         return F.concat(
-            F.lit("- id="), x["record_id"], F.lit(" | title="), F.coalesce(x["title"], F.lit("")),
+            F.lit("- id="), F.coalesce(x["record_id"], F.lit("")), F.lit(" | title="), F.coalesce(x["title"], F.lit("")),
             F.lit(" | url="), F.coalesce(x["original_url"], F.lit("")),
         )
 
@@ -139,12 +151,17 @@ def merge_annotations(df: DataFrame, ann: DataFrame, threshold: float = 0.75, ca
                       fallback=vocab.FALLBACK_CATEGORY, drop_non_jobs: bool = False) -> DataFrame:
     """Fill missing company and place, and fallback categories, from confident annotations.
 
-    ``ann`` holds one row per record id.
+    Of several annotations of a record the most confident counts, so a doubled id doubles no posting.
+    Postings without an id match nothing; each gets a key of its own, so they gather in no task.
     """
     fields = ["company", "company_conf", "location", "location_conf", "category", "category_conf"]
-    side = ann.select("record_id", *[F.col(c).alias(f"_{c}") for c in fields],
-                      *([F.col("is_job").alias("_is_job")] if drop_non_jobs else []))
-    joined = df.join(side, "record_id", "left")
+    named = ann.filter(F.coalesce("record_id", F.lit("")) != "")
+    best = dedup_first(named, "record_id", [*[F.col(c).desc_nulls_last() for c in fields[1::2]], *fields[::2]])
+    side = best.select(F.concat(F.lit("="), "record_id").alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields],
+                       *([F.col("is_job").alias("_is_job")] if drop_non_jobs else []))
+    own = F.concat(F.lit("#"), F.xxhash64(*[c for c in df.columns]).cast("string"))
+    key = F.when(F.coalesce("record_id", F.lit("")) == "", own).otherwise(F.concat(F.lit("="), "record_id"))
+    joined = df.withColumn("_key", key).join(side, "_key", "left").drop("_key")
     if drop_non_jobs:
         joined = joined.filter(F.coalesce("_is_job", F.lit(True))).drop("_is_job")
 

@@ -75,10 +75,18 @@ def prepare_dataset(df: DataFrame) -> DataFrame:
     return out.filter(F.col("year").isNotNull())
 
 
-def split_accept_reject(df: DataFrame, source: str = None):
-    """(accepted, rejected) after removing platform noise from titles."""
+def mark_accepted(df: DataFrame, source: str = None) -> DataFrame:
+    """Titles without platform noise, and ``accepted``: whether the title is one of a posting."""
     cleaned = df.withColumn("title", strip_noise(F.col("title")))
     if source is not None:
         cleaned = cleaned.withColumn("source", F.lit(source))
-    marked = is_posting_title(F.col("title"))
-    return cleaned.filter(marked), cleaned.filter(~marked)
+    return cleaned.withColumn("accepted", is_posting_title(F.col("title")))
+
+
+def split_accept_reject(df: DataFrame, source: str = None):
+    """(accepted, rejected) after removing platform noise from titles.
+
+    A job that needs both writes ``mark_accepted`` once, partitioned by the mark, and reads the parts.
+    """
+    marked = mark_accepted(df, source)
+    return marked.filter("accepted").drop("accepted"), marked.filter("NOT accepted").drop("accepted")

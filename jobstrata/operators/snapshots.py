@@ -57,9 +57,20 @@ def min_gap_sample(df: DataFrame, key, ts: str = "ts", days: int = 14, order=())
     return kept.select(*df.columns)
 
 
+def by_year(key, ts: str = "ts"):
+    """A key that also separates years: the gap rule starts anew with each."""
+    return [*([key] if isinstance(key, str) else key), F.substring(ts, 1, 4).alias("_year")]
+
+
+def min_gap_sample_yearly(df: DataFrame, key, ts: str = "ts", days: int = 14, order=()) -> DataFrame:
+    """The gap rule for each key and year on its own."""
+    *names, year = by_year(key, ts)
+    return min_gap_sample(df.withColumn("_year", year), [*names, "_year"], ts, days, order).select(*df.columns)
+
+
 def min_gap_sample_success(df: DataFrame, key, yielded: str = "yielded", ts: str = "ts", days: int = 14, order=()):
-    """Only snapshots that yielded something start a gap; empty ones never do."""
-    return min_gap_sample(df.filter(F.col(yielded) > 0), key, ts, days, order)
+    """Only snapshots that yielded something start a gap; empty ones never do; every year starts anew."""
+    return min_gap_sample_yearly(df.filter(F.col(yielded) > 0), key, ts, days, order)
 
 
 def cap_per_year(df: DataFrame, key, ts: str = "ts", limits=None, default=vocab.SNAPSHOTS_PER_YEAR_DEFAULT):
@@ -76,12 +87,12 @@ def cap_per_year(df: DataFrame, key, ts: str = "ts", limits=None, default=vocab.
         F.col("_rn") <= allowed).drop("_rn", "_year")
 
 
-def dedup_content(df: DataFrame, content: str, order, prefix_bytes: int = 4096) -> DataFrame:
-    """Keep the first page of each content fingerprint.
+#: The archive's own rule: pages equal so far count as the same snapshot.
+ARCHIVE_PREFIX = 4096
 
-    The archive's rule fingerprints the first 4096 bytes: pages equal that far count as the
-    same snapshot.  ``prefix_bytes=None`` fingerprints the whole content.
-    """
+
+def dedup_content(df: DataFrame, content: str, order, prefix_bytes: int = None) -> DataFrame:
+    """Keep the first page of each content fingerprint, over the whole content or its first ``prefix_bytes``."""
     body = F.col(content).cast("binary")
     body = body if prefix_bytes is None else F.substring(body, 1, prefix_bytes)
     marked = df.withColumn("_fingerprint", F.md5(body))

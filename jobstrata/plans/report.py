@@ -1,8 +1,9 @@
 """The whole report: every section as a table, and one JSON document of them.
 
 ``build_report`` persists the counted frames once and lets all sections roll up from them.
-``write_report`` saves each section in full as its own table; the document nests those of
-bounded size and names the table of any larger one, so nothing large is ever gathered.
+``write_report`` saves each section in full as its own table.  The document nests the sections whose
+size is bounded by years, periods, fixed vocabularies or a top list; the sections in ``OPEN_SECTIONS`` grow with
+the data and are always named by their table, whatever their size.
 """
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,8 @@ from jobstrata.plans.inputs import PostingCubes
 from jobstrata.plans.registry import SECTIONS
 
 SCHEMA_VERSION = "3.0"
-DOCUMENT_ROWS = 20_000
+#: Sections with a row per place, company or period pair found in the data: tables of their own, never nested.
+OPEN_SECTIONS = ("loc.flags_min20", "dq.place_names_as_company")
 
 
 def build_report(cubes: PostingCubes, names=None) -> dict:
@@ -38,18 +40,16 @@ def write_report(sections: dict, path: str) -> dict:
     return saved
 
 
-def report_document(sections: dict, max_rows: int = DOCUMENT_ROWS) -> DataFrame:
+def report_document(sections: dict, separate=OPEN_SECTIONS) -> DataFrame:
     """One row: the JSON document of the saved sections.
 
-    Sections named ``a.b`` are nested under ``a``.  A section beyond ``max_rows`` appears as
-    ``{"rows": n, "table": name}``; its rows are complete in its own table.
+    Sections named ``a.b`` are nested under ``a``.  A section in ``separate`` appears as ``{"table": name}``.
     """
     parts = None
     for name, df in sections.items():
         group, _, leaf = name.partition(".")
-        size = df.count()
-        if size > max_rows:
-            body = df.sparkSession.range(1).select(F.to_json(F.struct(F.lit(size).alias("rows"), F.lit(name).alias("table"))).alias("body"))
+        if name in separate:
+            body = df.sparkSession.range(1).select(F.to_json(F.struct(F.lit(name).alias("table"))).alias("body"))
         else:
             rows = F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
             body = df.agg(F.concat(F.lit("["), F.concat_ws(",", rows), F.lit("]")).alias("body"))

@@ -60,8 +60,17 @@ def snapshot_index_read(spark: SparkSession, path: str, site: str, seed_priority
         "ts", "statuscode")
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotations as JSON lines, one object with a record id each: any size, read by all tasks."""
+    return spark.read.schema("record_id string, company string, company_conf double, location string, location_conf double, "
+                             "category string, category_conf double").json(path)
+
+
 def read_annotation_map(spark: SparkSession, path: str) -> DataFrame:
-    """A checkpoint file holding one JSON object keyed by record id."""
+    """A checkpoint file holding one JSON object keyed by record id: one value, for files of a run.
+
+    Larger sets belong into JSON lines (``read_annotations``).
+    """
     value = ("struct<company:string,company_conf:double,location:string,location_conf:double,"
              "category:string,category_conf:double>")
     text = spark.read.option("wholetext", True).text(path)
@@ -70,10 +79,11 @@ def read_annotation_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_custom_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of labels."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", "array<string>")).alias("category")).filter(
-        "category IS NOT NULL")
+    """Labels as written by ``write_custom_labels``: a JSON object a line, or an array of labels a line."""
+    text = spark.read.text(path)
+    one = F.from_json("value", "struct<category:string>")["category"]
+    labels = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array(one))
+    return text.select(F.explode(labels).alias("category")).filter("category IS NOT NULL")
 
 
 def export_search_corpus(df: DataFrame, url: str = "wayback_url") -> DataFrame:

@@ -4,14 +4,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+RECORDS_PER_FILE = 5_000_000
+
+
 def write_parquet(df: DataFrame, path: str, partitions=("source", "year")):
-    """One directory per source and year; rows are spread evenly first.
+    """One directory per source and year.
 
-    Hashing on the partition columns alone would put a third of all rows into one task when
-    one source dominates, so a hash of the record id splits every group.
+    Rows are rebalanced by directory first: adaptive execution splits a directory that holds much into as many
+    tasks as its bytes ask for and merges small ones, so neither a hot source nor the file count gets out of hand.
     """
-    spread = F.pmod(F.xxhash64("record_id"), F.lit(16))
-    df.repartition(*[F.col(p) for p in partitions], spread).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    df.hint("rebalance", *[F.col(p) for p in partitions]).write.mode("overwrite").option(
+        "maxRecordsPerFile", RECORDS_PER_FILE).partitionBy(*partitions).parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str):
@@ -23,13 +26,10 @@ def write_csv(df: DataFrame, path: str):
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
-def write_custom_labels(labels: DataFrame, path: str, limit: int = 10_000):
-    """The discovered labels as one JSON array; a vocabulary beyond the limit is an error."""
-    listed = labels.select("category").distinct().limit(limit + 1).collect()
-    if len(listed) > limit:
-        raise ValueError(f"more than {limit} custom labels: store them as a table")
-    body = labels.agg(F.to_json(F.array_sort(F.collect_set("category"))).alias("value"))
-    body.coalesce(1).write.mode("overwrite").text(path)
+def write_custom_labels(labels: DataFrame, path: str):
+    """The discovered labels, each once, one JSON string a line; any number of labels, written by all tasks."""
+    labels.where("category is not null").select(F.to_json(F.struct("category")).alias("value")).distinct().write.mode(
+        "overwrite").text(path)
 
 
 def write_document(document: DataFrame, path: str):

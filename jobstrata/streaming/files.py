@@ -1,6 +1,5 @@
 """Where streams keep checkpoints and results, and how batches are written once."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,10 @@ SHARED_DIR = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; local only where none is set."""
-    shared = spark.conf.get(SHARED_DIR, None) or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder below the cluster's shared checkpoint folder, which must be set."""
+    shared = spark.conf.get(SHARED_DIR, None)
+    if not shared:
+        raise ValueError(f"set {SHARED_DIR} to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from jobstrata import catalog
 from tests.compare import compare, connect
 
 
@@ -12,13 +13,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, sf_dir, name):
-    problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], sf_dir)
-    assert problem in ("", "EMPTY")
+    assert compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], sf_dir) == ""
 
 
 def test_entry(spark):
