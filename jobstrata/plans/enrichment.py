@@ -3,6 +3,8 @@
 ``enrich`` is one projection of built-in expressions: no UDF, no shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from jobstrata.config import DEFAULTS
 from jobstrata.functions.extract import with_company, with_location
 from jobstrata.functions.rules import archived_date, classify_category, classify_seniority, flag
 from jobstrata.operators.annotations import consolidate_categories, merge_annotations
-from jobstrata.operators.rows import align_schema, dedup_first, split_accept_reject, union_sources
+from jobstrata.operators.rows import align_schema, dedup_first, mark_accepted, split_accept_reject, union_sources
 
 
 def enrich(df: DataFrame, source: str = None, ts: str = "arquivo_timestamp") -> DataFrame:
@@ -25,6 +27,29 @@ def enrich(df: DataFrame, source: str = None, ts: str = "arquivo_timestamp") ->
     return with_company(with_location(out.withColumns(added)))
 
 
+def mark_sources(sources: dict) -> DataFrame:
+    """All raw per-source frames in one, with cleaned titles and the mark ``accepted``: to be written once."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [mark_accepted(df, name) for name, df in sources.items() if df is not None])
+
+
+def build_marked(marked: DataFrame, names, annotations: DataFrame = None, order=("row_ord",), settings=DEFAULTS) -> DataFrame:
+    """Final postings from the accepted rows of a marked table; ``names`` gives the priority of the sources."""
+    kept = {name: enrich(marked.filter(F.col("accepted") & (F.col("source") == name)).drop("accepted")) for name in names}
+    return finished(kept, annotations, order, settings)
+
+
+def finished(kept: dict, annotations, order, settings) -> DataFrame:
+    """Union, annotations, merged labels, one row a record id."""
+    postings = union_sources(kept)
+    if annotations is not None:
+        postings = merge_annotations(postings, annotations, settings.annotation_threshold,
+                                     settings.category_threshold, settings.fallback_category)
+    postings = consolidate_categories(postings)
+    postings = dedup_first(postings, "record_id", ["source_priority", *order])
+    return align_schema(postings)
+
+
 def build_dataset(sources: dict, annotations: DataFrame = None, order=("row_ord",), settings=DEFAULTS):
     """(final postings, rejected rows) from raw per-source frames.
 
@@ -38,10 +63,4 @@ def build_dataset(sources: dict, annotations: DataFrame = None, order=("row_ord"
             continue
         good, bad = split_accept_reject(df, name)
         kept[name], rejected[name] = enrich(good, name), bad
-    postings = union_sources(kept)
-    if annotations is not None:
-        postings = merge_annotations(postings, annotations, settings.annotation_threshold,
-                                     settings.category_threshold, settings.fallback_category)
-    postings = consolidate_categories(postings)
-    postings = dedup_first(postings, "record_id", ["source_priority", *order])
-    return align_schema(postings), union_sources(rejected)
+    return finished(kept, annotations, order, settings), union_sources(rejected)
