@@ -39,11 +39,14 @@ def _boundary(query):
     return F.concat(F.lit(r"(^|[^a-z0-9])\Q"), query, F.lit(r"\E($|[^a-z0-9])"))
 
 
+def _hit(query: str):
+    q = search_normalize(F.lit(query))
+    return (F.length(q) >= MIN_QUERY_LENGTH) & (F.rlike("norm_title", _boundary(q)) | F.rlike("norm_category", _boundary(q)))
+
+
 def matches(corpus: DataFrame, query: str) -> DataFrame:
     """Rows whose title or category holds the query between non-alphanumeric characters."""
-    q = search_normalize(F.lit(query))
-    hit = F.rlike("norm_title", _boundary(q)) | F.rlike("norm_category", _boundary(q))
-    return corpus.filter((F.length(q) >= MIN_QUERY_LENGTH) & hit)
+    return corpus.filter(_hit(query))
 
 
 def _share(count, total):
@@ -51,8 +54,10 @@ def _share(count, total):
 
 
 def keyword_trend(corpus: DataFrame, query: str, totals: DataFrame = None) -> DataFrame:
-    """Matches per known year, zero-filled, with the share of the year."""
-    totals = year_totals(corpus) if totals is None else totals
+    """Matches per known year, zero-filled, with the share of the year; one pass over the texts."""
+    if totals is None:
+        counted = corpus.groupBy("year").agg(F.count_if(_hit(query)).alias("count"), F.count(F.lit(1)).alias("total"))
+        return counted.select("year", "count", "total", _share(F.col("count"), F.col("total")).alias("share"))
     counted = matches(corpus, query).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     count = F.coalesce("n", F.lit(0))
     return totals.join(counted, "year", "left").select(
@@ -106,9 +111,13 @@ def keyword_trend_batch(corpus: DataFrame, queries: DataFrame, query: str = "que
     both = F.concat_ws(" ", "norm_title", "norm_category")
     words = F.filter(F.split(both, "[^a-z0-9]+"), lambda r: r != "")
     marked = F.when(both.rlike(r"[+#.\-]"), F.array_append(words, F.lit(""))).otherwise(words)
-    rows = corpus.select("year", "norm_title", "norm_category", F.explode(F.array_distinct(marked)).alias("key"))
+    # only a hash of the text passes the explode and the word join; the texts meet the few pairs that are left
+    text_id = F.xxhash64("norm_title", "norm_category").alias("text_id")
+    pairs = corpus.select(text_id, F.explode(F.array_distinct(marked)).alias("key")).join(keyed, "key").select(
+        "text_id", query, "q").distinct()
     hit = F.rlike("norm_title", _boundary(F.col("q"))) | F.rlike("norm_category", _boundary(F.col("q")))
-    counted = rows.join(keyed, "key").filter(hit).groupBy(query, "year").agg(F.count(F.lit(1)).alias("n"))
+    texts = corpus.select(text_id, "year", "norm_title", "norm_category")
+    counted = texts.join(pairs, "text_id").filter(hit).groupBy(query, "year").agg(F.count(F.lit(1)).alias("n"))
     # zero-filling: one row per query and known year is the result itself
     known = totals.agg(F.collect_list(F.struct("year", "total"))).scalar()
     frame = asked.select(query, F.inline(known))

@@ -59,16 +59,19 @@ def emergence_table(cubes, candidates="first_seen"):
     kept = rows.select(in_last.alias("is_last"), F.struct(*cubes.order).alias("ord"),
                        tokens(F.col("title"), s.stopwords).alias("kept"))
     seen = kept.select("is_last", "ord", F.posexplode("kept").alias("pos", "keyword"))
-    per_token = seen.groupBy("is_last", "keyword").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first_at")
-    )
-    order = [F.col("first_at").asc()] if candidates == "first_seen" else [F.col("n").desc()]
-    chosen = top_per_group(per_token, "is_last", [*order, F.col("keyword")], s.emergence_candidates)
-    names = chosen.select("keyword").distinct()
-    counted = per_token.join(names, "keyword", "left_semi").groupBy("keyword").agg(
-        F.sum(F.when(F.col("is_last"), 0).otherwise(F.col("n"))).alias("n_first"),
-        F.sum(F.when(F.col("is_last"), F.col("n")).otherwise(0)).alias("n_last"),
+    at = F.struct("ord", "pos")
+    per_token = seen.groupBy("keyword").agg(
+        F.count_if(~F.col("is_last")).alias("n_first"), F.count_if("is_last").alias("n_last"),
+        F.min(F.when(~F.col("is_last"), at)).alias("at_first"), F.min(F.when(F.col("is_last"), at)).alias("at_last"),
     )
+
+    def chosen(side, other):
+        order = [F.col(f"at_{side}").asc()] if candidates == "first_seen" else [F.col(f"n_{side}").desc()]
+        # the last sort keys never decide; they keep both branches on one aggregation, so the texts are read once
+        return per_token.filter(F.col(f"n_{side}") > 0).orderBy(
+            *order, "keyword", f"at_{other}", f"at_{side}", "n_first", "n_last").limit(s.emergence_candidates)
+
+    counted = chosen("first", "last").union(chosen("last", "first")).select("keyword", "n_first", "n_last").distinct()
     years = cubes.cube("year")
     ads_first = years.agg(F.coalesce(F.sum(F.when(in_first, F.col("n_rows"))), F.lit(0))).scalar()
     ads_last = years.agg(F.coalesce(F.sum(F.when(in_last, F.col("n_rows"))), F.lit(0))).scalar()
