@@ -7,7 +7,7 @@ from jobstrata.catalog.report_sql import n, q, rnd
 from jobstrata.functions import rules
 from jobstrata.functions.extract import with_company, with_location
 from jobstrata.functions.text import (
-    bigrams, fold, heal_lost_bytes, normalize_text, repair_mojibake, search_normalize, tokens,
+    bigrams, fold, heal_lost_bytes, normalize_text, repair_byte_pairs, repair_mojibake, search_normalize, tokens,
 )
 from jobstrata.operators import annotations as ann_ops
 from jobstrata.operators.aggregates import coverage, counts_by_year, value_counts_share
@@ -134,6 +134,18 @@ def repair_query(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", digest(repair_mojibake(garbled)).alias("repaired"))
 
 
+@query("repair_byte_pairs", """SELECT doc_id, md5('€ ' || text) AS by_pairs, md5(text) AS as_whole FROM documents""")
+def byte_pairs_query(spark, sf_dir):
+    """Letters are garbled one by one in a text that no decoding repairs, and all at once in one that is repaired whole."""
+    pairs = F.create_map(*[F.lit(x) for pair, letter in vocab.BYTE_PAIRS for x in (letter, pair)])
+    garbled = F.transform(F.split("text", ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    mixed = F.concat(F.lit("€ "), F.array_join(garbled, ""))
+    whole = F.decode(F.col("text").cast("binary"), "ISO-8859-1")
+    return documents(spark, sf_dir).select(
+        "doc_id", digest(repair_byte_pairs(mixed, vocab.BYTE_PAIRS)).alias("by_pairs"),
+        digest(repair_byte_pairs(whole, vocab.BYTE_PAIRS)).alias("as_whole"))
+
+
 @query("search_normalize", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(strip_accents(lower(text)),
     '[^a-z0-9+#.\s-]', ' ', 'g'), '\s+', ' ', 'g'))) AS normalized FROM documents""")
 def search_normalize_query(spark, sf_dir):

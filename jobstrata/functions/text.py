@@ -123,6 +123,17 @@ def heal_lost_bytes(col: Column, repairs) -> Column:
     return col
 
 
+def repair_byte_pairs(col: Column, pairs) -> Column:
+    """UTF-8 read as Latin-1 is decoded as a whole; where that fails, known byte pairs are replaced in order."""
+    latin1 = col.rlike(r"^[\x{0}-\x{FF}]*$")
+    whole = F.try_validate_utf8(F.encode(F.when(latin1, col), "ISO-8859-1").cast("string"))
+    replaced = col
+    for pair, letter in pairs:
+        replaced = F.replace(replaced, F.lit(pair), F.lit(letter))
+    return F.when(is_ascii(col), col).otherwise(
+        F.when(whole.isNotNull() & (whole != col) & ~F.contains(whole, F.lit("\ufffd")), whole).otherwise(replaced))
+
+
 def title_case(col: Column) -> Column:
     """Upper-case every letter that does not follow a letter, lower-case the rest."""
     words = F.split(F.regexp_replace(F.lower(col), r"(?<=\P{L})(?=\p{L})", "\u0000"), "\u0000")

@@ -229,6 +229,15 @@ LOST_BYTE_REPAIRS = [
     ("PRODUO", "PRODUÇÃO"), ("\ufffd", ""),
 ]
 
+# --- byte pairs of UTF-8 letters read as a Windows code page, and the letters (fixed values) --------
+BYTE_PAIRS = [
+    ("Ã¡", "á"), ("Ã ", "à"), ("Ã£", "ã"), ("Ã¢", "â"), ("Ã¤", "ä"), ("Ã©", "é"), ("Ã¨", "è"), ("Ãª", "ê"), ("Ã«", "ë"),
+    ("Ã\u00ad", "í"), ("Ã¬", "ì"), ("Ã®", "î"), ("Ã¯", "ï"), ("Ã³", "ó"), ("Ã²", "ò"), ("Ãµ", "õ"), ("Ã´", "ô"), ("Ã¶", "ö"),
+    ("Ãº", "ú"), ("Ã¹", "ù"), ("Ã»", "û"), ("Ã¼", "ü"), ("Ã§", "ç"), ("Ã‡", "Ç"), ("ÃÁ", "Á"), ("Ã‰", "É"), ("Ã“", "Ó"),
+    ("Ãš", "Ú"), ("Ã€", "À"), ("Ã•", "Õ"), ("Ã‚", "Â"), ("Ãƒ", "Ã"), ("Ã„", "Ä"), ("â€œ", "\u201c"), ("â€\u009d", "\u201d"),
+    ("â€˜", "\u2018"), ("â€™", "\u2019"), ("â€“", "\u2013"), ("â€”", "\u2014"), ("â€¦", "\u2026"),
+]
+
 # --- listing pages -------------------------------------------------------------------------
 CONTAINER_SELECTORS = [
     "li.oferta", "div.oferta", "li.anuncio", "div.anuncio", "li.job", "div.job",
