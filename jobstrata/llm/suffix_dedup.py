@@ -102,11 +102,12 @@ def repeats(docs, passage=PASSAGE, prefix=PREFIX):
     means the smaller (doc_id, place). Hot passages are aggregated to their first and last place before
     anything is joined.
     """
-    place = F.struct("doc_id", "start")
-    found = saved(suffixes(docs, passage, prefix))
+    place, mark = F.struct("doc_id", "start"), F.xxhash64("doc_id", "start")
+    every = suffixes(docs, passage, prefix)  # read twice rather than kept: most prefixes occur once
+    twice = every.groupBy("h").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).where("one <> other")
+    found = saved(every.join(twice.select("h"), "h"))
     segments = found.groupBy("h", "s").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("windows").alias("windows"))
-    prefixes = segments.groupBy("h").agg(F.min("low").alias("h_low"), F.max("high").alias("h_high"), F.count("*").alias("kinds"))
-    marks = saved(segments.join(prefixes.where("h_low < h_high").select("h", "kinds"), "h"))
+    marks = saved(segments.join(segments.groupBy("h").agg(F.count("*").alias("kinds")), "h"))
     wanted = marks.where("kinds > 1").select("h", "low.doc_id", "low.start", "windows")
     windows = saved(_extended(docs, wanted, passage))
     shared = windows.groupBy("h", "w").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high")
@@ -171,6 +172,9 @@ def without_repeats(docs, passage=PASSAGE, prefix=PREFIX):
     def remove(texts: pd.Series, spans_of: pd.Series) -> pd.Series:
         out = []
         for text, cut in zip(texts, spans_of):
+            if not isinstance(text, str):
+                out.append(None)
+                continue
             raw = np.frombuffer(text.encode(), np.uint8)
             starts, _, _ = arrays.words(raw, np.array([0, len(raw)]))
             bounds = np.append(starts, len(raw)).tolist()
@@ -181,8 +185,10 @@ def without_repeats(docs, passage=PASSAGE, prefix=PREFIX):
             out.append(np.concatenate([*kept, raw[last:]]).tobytes().decode())
         return pd.Series(out)
 
-    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
-    shorter = joined.where("_cut is not null").withColumn("text", remove("text", "_cut")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("_cut_id"), "left").withColumn(
+        "_left", remove(F.when(F.col("_cut").isNotNull(), F.col("text")), "_cut"))
+    changed = {"text": F.coalesce("_left", "text")}
     if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("_cut is null").select(docs.columns).union(shorter.select(docs.columns))
+        counted = F.length("_left").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_left").isNotNull(), counted).otherwise(F.col("n_chars"))
+    return joined.where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]")).withColumns(changed).select(docs.columns)
