@@ -62,4 +62,27 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank, vec_id, score FROM s
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op2_suffix_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        win AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS g
+                FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w)),
+        m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win),
+        p AS (SELECT DISTINCT 'repeat' AS kind, doc_id, i + unnest(range(50)) AS p FROM m WHERE n > 1
+              UNION ALL SELECT DISTINCT 'cut', doc_id, i + unnest(range(50)) FROM m WHERE r > 1),
+        runs AS (SELECT *, p - row_number() OVER (PARTITION BY kind, doc_id ORDER BY p) AS run FROM p)
+        SELECT doc_id, kind, min(p)::bigint AS start_word, (max(p) + 1)::bigint AS end_word, (max(p) + 1 - min(p))::bigint AS n_words
+        FROM runs GROUP BY kind, doc_id, run""",
+    "op3_minhash_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        low AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(doc_id, coalesce(low.b, doc_id)) AS component_id,
+               doc_id = least(doc_id, coalesce(low.b, doc_id)) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
 }
