@@ -88,16 +88,14 @@ def confirmed(pairs, texts, percent):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, len(batch), 200):
-                part = batch.slice(start, 200)
-                (x, of_x), (y, of_y) = (shingle_sets(part.column(c)) for c in ("text_a", "text_b"))
-                row_x, row_y = arrays.owners(of_x), arrays.owners(of_y)
-                salt = arrays.mix(np.arange(len(part), dtype=np.uint64))
-                both = np.isin(x ^ salt[row_x], y ^ salt[row_y])
-                common = np.bincount(row_x[both], minlength=len(part))
-                union = np.diff(of_x) + np.diff(of_y) - common
-                yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * union)).cast(schema)
+        for part in arrays.pieces(batches, "text_a", "text_b"):
+            (x, of_x), (y, of_y) = (shingle_sets(part.column(c)) for c in ("text_a", "text_b"))
+            row_x, row_y = arrays.owners(of_x), arrays.owners(of_y)
+            salt = arrays.mix(np.arange(len(part), dtype=np.uint64))
+            both = np.isin(x ^ salt[row_x], y ^ salt[row_y])
+            common = np.bincount(row_x[both], minlength=len(part))
+            union = np.diff(of_x) + np.diff(of_y) - common
+            yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * union)).cast(schema)
 
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(
         F.col("rep").alias("b"), F.col("text").alias("text_b"))
@@ -110,33 +108,77 @@ def _labelled(nodes, found):
         "component", F.coalesce("component", "rep"))
 
 
-def _shingles(texts):
-    """One row for each text (with its component) and different shingle."""
+def _shingles(texts, rows):
+    """One row for each text of the rows and different shingle, with its component and the size of its set.
+
+    Made from the texts whenever they are needed: the texts are a fraction of their shingles.
+    """
     schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
 
     def run(batches):
         for batch in arrays.pieces(batches, "text"):
-            values, rows = shingle_sets(batch.column("text"))
-            owner = pa.array(arrays.owners(rows))
-            sizes = np.repeat(np.diff(rows), np.diff(rows))
-            for start in range(0, len(values), 1 << 17):
-                part = slice(start, start + (1 << 17))
-                at = owner[start:start + (1 << 17)]
-                yield arrays.record_batch(schema, batch.column("rep").take(at), batch.column("component").take(at), sizes[part],
-                                          arrays.signed(values[part]))
+            values, at = shingle_sets(batch.column("text"))
+            owner = pa.array(arrays.owners(at))
+            yield arrays.record_batch(schema, batch.column("rep").take(owner), batch.column("component").take(owner),
+                                      np.repeat(np.diff(at), np.diff(at)), arrays.signed(values))
+
+    return texts.join(rows.select("rep", "component").distinct(), "rep").select("rep", "component", "text").mapInArrow(
+        run, "rep long, component long, n long, shingle long")
+
+
+def _mixed(rows):
+    """The rows (key, …, component) of keys that still hold several components."""
+    several = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    return rows.join(several.select("key"), "key")
 
-    return texts.select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, shingle long")
 
+def _narrowed(rows, texts, percent):
+    """The rows (key, rep, component) whose text may have a link to another component, with n and common.
 
-def _may_link(shingles, percent):
-    """Those texts that share enough shingles with texts of other components to have a link to one of them.
+    n counts the text's shingles, common those that some other component holds; a partner B of A shares at most
+    common of them. So the similarity is at most common / (n + n_B - common), and n_B is no less than the
+    smallest n of the key. Rows that stay below `percent` drop out, then keys with one component left. No link is lost.
+    """
+    placed = _shingles(texts, rows)
+    spread = placed.groupBy("shingle").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    counted = (placed.join(spread.where("first < last"), "shingle").groupBy("rep", "n").agg(F.count("*").alias("common")))
+    rows = rows.select("key", "rep", "component").join(counted, "rep")
+    smallest = rows.groupBy("key").agg(F.min("n").alias("least"))
+    near = rows.join(smallest, "key").where((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least")))
+    return _mixed(near.select("key", "rep", "component", "n", "common"))
+
+
+def _stars(votes):
+    """Each node with the two nodes that most of its keys name."""
+    most = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    counted = votes.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    return counted.withColumn("place", F.row_number().over(most)).where("place <= 2").select("a", "b")
 
-    A link needs `percent` of the text's own shingles; shingles that no other component holds cannot count. So
-    no link is lost, and texts with many own words drop out without a comparison.
+
+def _central(rows):
+    """Pairs of each node with the most central node of its key, where that is of another component.
+
+    Central is the node that meets most others in its keys: the text that copies were made from, or the copy nearest
+    to it. So it has links to more of the key than the smallest node has.
     """
-    spread = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return (shingles.join(spread.where("low < high"), "shingle").groupBy("rep", "component", "n").agg(F.count("*").alias("common"))
-            .where(100 * F.col("common") >= percent * F.col("n")).select("rep", "component"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("held"))
+    weights = rows.join(sizes, "key").groupBy("rep").agg(F.sum("held").alias("weight"))
+    best = rows.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "component")).alias("best"))
+    middle = best.select("key", (-F.col("best.minus")).alias("b"), F.col("best.component").alias("other"))
+    return _stars(rows.join(middle, "key").where("component <> other").select(F.col("rep").alias("a"), "b"))
+
+
+def _pairs(rows, percent):
+    """Pairs of different components within the bound, each from the first key that both have, so none comes twice."""
+    number, every = F.shiftright("key", 48), range(COORDINATES)
+    wide = rows.groupBy("rep").agg(*(F.max(F.when(number == j, F.col("key"))).alias(f"key{j}") for j in every))
+    rows = rows.join(wide, "rep")
+    names = ["rep", "component", "n", "common", *(f"key{j}" for j in every)]
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    first = F.coalesce(*(F.when(F.col(f"key{j}_a") == F.col(f"key{j}_b"), F.lit(j)) for j in every))
+    return (a.join(b, "key").where(F.col("component_a") < F.col("component_b"))
+            .where((100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_a") + F.col("n_b")))
+            .where(first == number).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
 
 
 def near_duplicates(docs, percent=85):
@@ -152,9 +194,10 @@ def near_duplicates(docs, percent=85):
     1. Equal sets are one node, so exact copies cost one row each.
     2. Nodes that agree on a key of the multi-index are candidates. Each is compared with the smallest nodes of
        its key groups (the two that most keys name), never with the whole group.
-    3. Where a key group still holds several components, nodes that cannot reach another component for
-       want of common shingles drop out, twice; pairs between what is left of different components are
-       compared exactly. Pairs inside a component are never made.
+    3. Where a key group still holds several components, its nodes are compared with its most central text.
+    4. Where it holds several even so, nodes that cannot reach another component for
+       want of common shingles drop out, twice; pairs between what is left of different components, and
+       within the same bound, are compared exactly. Pairs inside a component are never made.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = saved(signatures(text))
@@ -162,25 +205,19 @@ def near_duplicates(docs, percent=85):
     keyed = (base.join(sets, ["h1", "h2"]).where("doc_id = rep").select("rep", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = saved(keyed.join(shared.select("key", "low"), "key").select("key", "rep", "low"))
-    votes = members.where("rep > low").groupBy("rep", "low").agg(F.count("*").alias("votes"))
-    most = Window.partitionBy("rep").orderBy(F.desc("votes"), "low")
-    stars = (votes.withColumn("place", F.row_number().over(most)).where("place <= 2")
-             .select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    stars = _stars(members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     texts = saved(text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
                   .select(F.col("doc_id").alias("rep"), "text"))
     links = saved(confirmed(stars, texts, percent))
     found = saved(components(links))
 
-    placed = _labelled(members.select("key", "rep"), found)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_nodes = placed.join(mixed.select("key"), "key").select("rep", "component").distinct()
-    shingles = saved(_shingles(texts.join(open_nodes, "rep")))
-    left = saved(_may_link(shingles, percent))
-    left = saved(_may_link(shingles.join(left.select("rep"), "rep"), percent))
-    side = members.select("key", "rep").join(left, "rep")
-    pairs = (side.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-             .join(side.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b")), "key")
-             .where("of_a < of_b").select("a", "b").distinct())
+    rows = saved(_mixed(_labelled(members.select("key", "rep"), found)))
+    links = saved(links.union(confirmed(saved(_central(rows)), texts, percent)))
+    found = saved(components(links))
+    rows = _mixed(_labelled(rows.select("key", "rep"), found))
+    rows = saved(_narrowed(saved(rows), texts, percent))
+    rows = saved(_narrowed(rows, texts, percent))
+    pairs = _pairs(rows, percent)
     found = components(links.union(confirmed(saved(pairs), texts, percent)))
 
     return (base.join(sets, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
