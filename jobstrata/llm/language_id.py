@@ -98,14 +98,22 @@ class Filters:
 
 
 def fit(docs):
-    """Filters from labelled texts (text, lang): documents of each language, bounded by SAMPLE_DOCS.
+    """Filters from labelled texts (doc_id, text, lang): documents of each language, bounded by SAMPLE_DOCS.
 
-    Which documents: the first by a hash of the text. Counts run on the executors; the driver takes at most
-    GRAMS n-grams of each size and language.
+    Which documents: the first by a hash of the id. A first cut by that hash, from the counts of the languages, lets
+    about four times as many through, so the exact choice moves few texts. N-grams are counted on the
+    executors; the driver takes a count a language and at most GRAMS n-grams of each size and language.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = docs.where("lang is not null and text is not null").select("lang", "text")
-    sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return Filters([]).close()
+    space = 1 << 30
+    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(space, 4 * SAMPLE_DOCS * space // r.n))])
+    place = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy(place, F.xxhash64("text"))
+    sample = (known.where(F.pmod(place, F.lit(space)) < F.try_element_at(cut, F.col("lang")))
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS))
     schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
