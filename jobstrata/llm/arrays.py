@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -19,18 +19,23 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def pieces(batches, column, limit=PIECE):
-    """Slices of the record batches holding about `limit` bytes of the text column."""
+def slices(batch, sizes, limit):
+    """Slices of a batch whose rows add up to `limit`, or of one larger row."""
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < len(batch):
+        yield batch.slice(start)
+
+
+def pieces(batches, *columns, limit=PIECE):
+    """Slices of the record batches holding about `limit` bytes of the text columns."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start, held = 0, 0
-        for row, size in enumerate(sizes):
-            if held and held + size > limit:
-                yield batch.slice(start, row - start)
-                start, held = row, 0
-            held += int(size)
-        if start < len(sizes):
-            yield batch.slice(start)
+        lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns]
+        yield from slices(batch, np.sum(lengths, axis=0, dtype=np.int64), limit)
 
 
 def utf8(column):
@@ -123,7 +128,7 @@ def record_batch(schema, *columns):
 class Known:
     """Ids of text spans seen before, by 64-bit span hash, in flat arrays; a full store starts anew."""
 
-    def __init__(self, learn, limit=1_500_000):
+    def __init__(self, learn, limit=1_000_000):
         self.learn, self.limit = learn, limit
         self._clear()
 

@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from jobstrata.llm import arrays
@@ -252,8 +253,8 @@ def decode(encoded, path):
 
     def run(batches):
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            for part in arrays.slices(batch, sizes, arrays.PIECE // 4):
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("ids"), decode_batch(part.column("ids"), part.column("ends"), path)], schema=schema)
 
