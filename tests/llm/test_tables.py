@@ -59,6 +59,23 @@ def test_certified_cutoffs(spark):
     assert all(r.kept == (not r.base_failed) for r in quality_rules.judge(docs, labels.limit(0)).collect())
 
 
+def test_joint_rule_of_few_labels(spark):
+    """Some 200 good holdout labels a stratum certify a joint rule: clear junk goes, good texts stay, noise gets no rule."""
+    rng = random.Random(1)
+    docs, labels = [], []
+    for i in range(1500):
+        lang, bad = ("en", "de", "xx")[i % 3], rng.random() < 0.15
+        prose = " ".join(f"word{rng.randrange(10**6)}" for _ in range(80))
+        junk = rng.choice([" ###" * 20, " !" * 90]) if bad and lang != "xx" else ""
+        docs.append((i, prose + junk, lang))
+        labels.append((i, 0 if bad else 1))
+    bad = {i for i, q in labels if q == 0 and docs[i][2] != "xx"}
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    passing = {r.doc_id for r in rows if not r.base_failed}
+    assert bad & passing and passing - {r.doc_id for r in rows if r.kept} == bad & passing
+
+
 def test_quality_edges(edge_docs, no_docs, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge(edge_docs, labels).collect()
