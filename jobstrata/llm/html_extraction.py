@@ -16,6 +16,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
              "strong sub sup time tt u var".split())
 HIDDEN = {"script", "style", "noscript", "template", "title", "head", "svg", "math", "iframe", "object", "select", "textarea"}
+#: Tags that do not end an open head.
+HEAD = {"html", "head", "title", "style", "script", "noscript", "template", "meta", "link", "base", "basefont", "bgsound", "noframes"}
 #: Tags that end an open paragraph or an open tag of their own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -52,6 +54,8 @@ class Tree(HTMLParser):
         self.text = [None if t is None else " ".join("".join(t).split()) for t in self.text]
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._leave_head(tag == "body")
         if tag in HIDDEN:
             self.hidden += 1
             self.stack.append((tag, None))
@@ -89,6 +93,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.hidden and data.strip():
+            self._leave_head(False)
         if self.hidden:
             return
         if self.run is None:
@@ -108,6 +114,13 @@ class Tree(HTMLParser):
         self.text.append(None)
         self.links.append(0)
 
+    def _leave_head(self, body):
+        """Ends an open head, whose end tag may be missing; inside an element of it only at the start of the body."""
+        if self.hidden and self.stack[-1][0] == "head":
+            self._close(len(self.stack) - 1)
+        elif self.hidden and body and [name for name, _ in self.stack[-2:]] == ["head", "noscript"]:
+            self._close(len(self.stack) - 2)
+
     def _imply(self, tag):
         ends = CLOSES.get(tag, ())
         for at in range(len(self.stack) - 1, -1, -1):
@@ -336,11 +349,11 @@ def training_pages(count, seed):
                           f'<div class="{rng.choice(["content", "post", "entry-content", "story", "main"])}">{inner}</div>',
                           f'<section{attrs("content", "text", "article")}>{inner}</section>', f"<div>{inner}</div>"])
 
-    for _ in range(count):
+    for page in range(count):
         before = [piece() for piece in rng.choices([menu, advert, notice, form, side, top, top], k=rng.randint(0, 4))]
         after = [piece() for piece in rng.choices([comments, side, advert, menu, notice, form], k=rng.randint(0, 3))]
         body = "".join([*before, main(), *after, rng.choice([bottom, bottom, lambda: ""])()])
-        html = (f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style></head><body>"
+        html = (f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style>" + ("</head><body>", "</head><body>", "<body>", "")[page % 4]
                 + rng.choice([body, f'<div id="page">{body}</div>', f'<div class="wrapper"><div>{body}</div></div>']) + "</body></html>")
         yield (html[:rng.randint(len(html) // 2, len(html))] if rng.random() < 0.1 else html), MARK
 

@@ -147,6 +147,18 @@ def test_pages(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_open_head():
+    """The end tag of a head and the tags of a body may be missing; titles, scripts and other head content stay hidden."""
+    for ending in ("", "<body>", "</head>", "</head><body>", "<noscript><body>", "<head><body>"):
+        tree = html_extraction.Tree(f"<html><head><title>x</title><noscript><p>no</p></noscript><meta a=b><style>p{{}}</style>\n{ending}<p>One.<p>Two.")
+        assert [t for t in tree.text if t] == ["One.", "Two."], ending
+    assert [t for t in html_extraction.Tree("<head><title>x</title>Plain <b>text</b>").text if t] == ["Plain text"]
+    body = "<article><h1>Title of it</h1><p>First line of text here, with more words in it.</p></article></body></html>"
+    closed, opened = (f"<html><head><title>T</title>{end}<body>{body}" for end in ("</head>", ""))
+    want = "Title of it First line of text here, with more words in it."
+    assert html_extraction.extractor().extract([closed, opened]) == [want, want]
+
+
 def test_pages_of_strange_layouts():
     """Layouts drawn with another seed than those learned from."""
     model, wrong = html_extraction.extractor(), 0
