@@ -32,6 +32,8 @@ POOR = set("nav navbar navigation menu header masthead head footer foot sidebar
            "recommended breadcrumb breadcrumbs pagination pager widget copyright legal disclaimer toolbar tags meta gdpr".split())
 GOOD_TAGS, POOR_TAGS = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
 
+#: The marked sections that the standard parser knows; it gives up at others.
+SECTION = re.compile(r"<!\[(temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE)
 TOKEN, STOPS = re.compile(r"[a-z]+"), re.compile(r"[.!?;:,]")
 
 
@@ -46,13 +48,16 @@ class Tree(HTMLParser):
         self.parent, self.tag, self.tokens, self.text, self.links = [-1], ["body"], [()], [None], [0]
         self.open, self.names, self.run, self.hidden, self.anchors = [0], ["body"], None, 0, 0
         self.stack = []  # open tags below the body: (name, is a block)
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:  # markup that the parser cannot read ends the page
-            pass
+        self.feed(html)
+        self.close()
         self.text = [None if t is None else " ".join("".join(t).split()) for t in self.text]
 
+    def parse_marked_section(self, i, report=1):
+        """Markup that opens with `<![`: what names no known section is a comment up to the next `>`, as in browsers."""
+        if SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         if tag not in HEAD:
             self._leave_head(tag == "body")

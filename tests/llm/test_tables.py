@@ -159,6 +159,18 @@ def test_pages_with_open_head():
     assert html_extraction.extractor().extract([closed, opened]) == [want, want]
 
 
+def test_pages_with_odd_sections():
+    """Unknown marked sections are comments; what stands behind them is read."""
+    for page, want in (("<p>a</p><![weird[x]]><p>b</p>", ["a", "b"]), ("<p>if a[i]<![0] then</p><p>b</p>", ["if a[i]", "b"]),
+                       ("<p>a</p><![ x><p>b</p>", ["a", "b"]), ("<p>a</p><![if !IE]><p>b</p><![endif]>", ["a", "b"]),
+                       ("<p>a</p><![cdata-x[y]]><p>b", ["a", "b"]), ("<p>a</p><![CDATA[x>y]]><p>b", ["a", "b"]),
+                       ("<p>a</p><![>b", ["a", "b"]), ("<p>a<![0] b", ["a<![0] b"]), ("<![weird", ["<![weird"])):
+        assert [t for t in html_extraction.Tree(page).text if t] == want, page
+    rng = random.Random(5)
+    for _ in range(20_000):
+        html_extraction.Tree("".join(rng.choice(["<![", "<!", "<", ">", "]", "]]>", "if", "cdata", "-", "--", " ", "x", "&", "/", "a"]) for _ in range(9)))
+
+
 def test_pages_of_strange_layouts():
     """Layouts drawn with another seed than those learned from."""
     model, wrong = html_extraction.extractor(), 0
