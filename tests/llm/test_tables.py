@@ -181,6 +181,31 @@ def test_pages_of_strange_layouts():
     assert wrong <= 0.08 * len(pages)
 
 
+def test_stages_on_edge_docs(spark, sf_dir, edge_docs):
+    """Repeated rows leave one row, rows that share an id are judged one by one, all columns return."""
+    prose, other = (" ".join(f"{w}{i}" for i in range(120)) for w in ("word", "thing"))
+    near = prose.replace("word60", "else")
+    extra = [(1, other), (20, near), (20, near), (20, other + " end"), (21, "few words"), (None, other), (None, None)]
+    added = spark.createDataFrame(extra, "doc_id long, text string").join(edge_docs.drop("doc_id", "text").limit(1)).select(edge_docs.columns)
+    docs = edge_docs.union(added)
+
+    def rows(frame):
+        assert frame.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+    judged = rows(corpus_pipeline.quality(spark, docs, sf_dir))
+    assert judged == sorted(((i, t) for i, t in rows(docs) if (c := brute.base_counts(t))[0] >= 50 and 2 * c[4] <= c[0]), key=str)
+    left = rows(corpus_pipeline.near_duplicates(spark, docs, sf_dir))
+    assert len(left) == len(set(left)) and (1, prose) in left and (1, other) in left and (7, "a") in left
+    groups = [t for _, t in left if brute.words((t or "").lower())[:2] in (["word0", "word1"], ["thing0", "thing1"], ["intro", "words"])]
+    assert sorted(groups) == sorted([prose, other])
+    assert left.count((None, None)) == 1 and (4, None) in left and (21, "few words") in left
+    assert len(rows(corpus_pipeline.passages(spark, docs.where("text is null or length(text) < 5"), sf_dir))) == 6
+    cut = rows(corpus_pipeline.passages(spark, docs.where("doc_id = 20 or (doc_id is null and text like 'thing%')").distinct(), sf_dir))
+    assert len(cut) == 2 and {i for i, _ in cut} == {20}
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() >= len([1 for _, t in rows(docs) if brute.words(t)])
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage on what the one before kept, against plain code or the operator's own tested verdicts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
