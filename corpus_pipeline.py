@@ -25,9 +25,9 @@ def _row_key():
 
 
 def language(spark, docs, sf_dir):
-    """Documents in a known language: `und` and scores below LOWEST_SCORE go, as do rows without an id."""
+    """Documents in a known language: `und` and scores below LOWEST_SCORE go."""
     found = language_id.prediction(spark, language_id.learn(docs))(F.col("text"))
-    return docs.where(F.col("doc_id").isNotNull() & (found["lang_pred"] != "und") & (found["score"] >= LOWEST_SCORE))
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LOWEST_SCORE))
 
 
 def quality(spark, docs, sf_dir):

@@ -206,6 +206,15 @@ def test_stages_on_edge_docs(spark, sf_dir, edge_docs):
     assert corpus_pipeline.pack(spark, docs, sf_dir).count() >= len([1 for _, t in rows(docs) if brute.words(t)])
 
 
+def test_language_without_ids(spark, sf_dir):
+    """Rows without an id are judged by their text, like any other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    nameless = docs.where("doc_id < 40").withColumn("doc_id", F.lit(None).cast("long"))
+    kept = corpus_pipeline.language(spark, docs.union(nameless), sf_dir)
+    texts = [sorted(r.text for r in kept.where(c).collect()) for c in ("doc_id < 40", "doc_id is null")]
+    assert texts[0] == texts[1] and len(texts[0]) > 20
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage on what the one before kept, against plain code or the operator's own tested verdicts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
