@@ -162,7 +162,7 @@ def features(tree):
         if text is not None:
             chars[v], words[v], runs[v] = len(text), text.count(" ") + 1, 1
             marks[v] = len(STOPS.findall(text))
-            upper[v] = sum(map(str.isupper, text[:400]))
+            upper[v] = sum(map(str.isupper, text))
         tag, tokens = tree.tag[v], tree.tokens[v]
         own_good[v] = (tag in GOOD_TAGS) + sum(t in GOOD for t in tokens)
         own_poor[v] = (tag in POOR_TAGS) + sum(t in POOR for t in tokens)

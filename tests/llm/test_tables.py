@@ -171,6 +171,12 @@ def test_pages_with_odd_sections():
         html_extraction.Tree("".join(rng.choice(["<![", "<!", "<", ">", "]", "]]>", "if", "cdata", "-", "--", " ", "x", "&", "/", "a"]) for _ in range(9)))
 
 
+def test_capitals_of_long_runs():
+    """The share of capitals counts the whole run, however long."""
+    trees = [html_extraction.Tree("<p>" + "Ab " * n) for n in (100, 3000)]
+    assert [html_extraction.features(t)[-1, 7] for t in trees] == [pytest.approx(1 / 3, rel=0.01)] * 2
+
+
 def test_pages_of_strange_layouts():
     """Layouts drawn with another seed than those learned from."""
     model, wrong = html_extraction.extractor(), 0
