@@ -85,4 +85,29 @@ ORACLES = {
         SELECT doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(doc_id, coalesce(low.b, doc_id)) AS component_id,
                doc_id = least(doc_id, coalesce(low.b, doc_id)) AS kept
         FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
+    "op13_vector_codes": r"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, v FROM v),
+        p AS MATERIALIZED (SELECT r, vec_id, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM x, range(16) AS t(part)),
+        b0 AS MATERIALIZED (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1) AS entry, x AS e FROM p
+          QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64),
+        d0 AS MATERIALIZED (SELECT r, part, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))::bigint AS d
+          FROM p JOIN b0 USING (part)),
+        a0 AS MATERIALIZED (SELECT r, part, entry, d FROM d0 QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1),
+        m0 AS MATERIALIZED (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*))::bigint AS m
+          FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM p JOIN a0 USING (r, part)) GROUP BY part, entry, i) GROUP BY part, entry),
+        b1 AS MATERIALIZED (SELECT part, entry, coalesce(m, e) AS e FROM b0 LEFT JOIN m0 USING (part, entry)),
+        d1 AS MATERIALIZED (SELECT r, part, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))::bigint AS d
+          FROM p JOIN b1 USING (part)),
+        a1 AS MATERIALIZED (SELECT r, part, entry, d FROM d1 QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1),
+        m1 AS MATERIALIZED (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*))::bigint AS m
+          FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM p JOIN a1 USING (r, part)) GROUP BY part, entry, i) GROUP BY part, entry),
+        b2 AS MATERIALIZED (SELECT part, entry, coalesce(m, e) AS e FROM b1 LEFT JOIN m1 USING (part, entry)),
+        d2 AS MATERIALIZED (SELECT r, part, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))::bigint AS d
+          FROM p JOIN b2 USING (part)),
+        a2 AS MATERIALIZED (SELECT r, part, entry, d FROM d2 QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1),
+        h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS h FROM b2),
+        c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a2 GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, h AS codebooks_sha256
+        FROM x JOIN c USING (r), h""",
 }

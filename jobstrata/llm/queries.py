@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobstrata.llm import (byte_bpe, html_extraction, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup,
-                           token_counts, topk_search)
+from jobstrata.llm import (byte_bpe, html_extraction, language_id, near_dedup, packing, periodic_runs, quality_rules, sharding,
+                           simhash_dedup, suffix_dedup, token_counts, topk_search, vector_codes)
 from jobstrata.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary files; every machine has them at the same place.
@@ -63,6 +63,18 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash_near_dedup(spark, sf_dir):
+    return simhash_dedup.near_copies(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_periodic_tails(documents(spark, sf_dir))))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(embeddings(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_suffix_dedup, op3_minhash_near_dedup, op4_quality_rules, op5_html_extraction, op6_byte_bpe,
-    op7_sharding, op8_topk_search, op9_packing, op10_language_id)}
+    op7_sharding, op8_topk_search, op9_packing, op10_language_id, op11_simhash_near_dedup, op12_periodic_runs, op13_vector_codes)}

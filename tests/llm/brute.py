@@ -1,8 +1,13 @@
 """Plain versions of the operators, without Spark."""
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -97,3 +102,83 @@ def smallest_capacity(sizes, shards):
     for _ in range(shards - 1):
         best = [0] + [min(max(best[j], sum(sizes[j:i + 1])) for j in range(i + 1)) for i in range(len(sizes))]
     return best[-1]
+
+
+def fingerprint(text):
+    """SimHash of the three-word shingles, bit by bit."""
+    w = words(lower_ascii(text))
+    if not w:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def fingerprint_components(prints, distance=2):
+    """doc_id → smallest doc_id that links between fingerprints reach; prints: (doc_id, fingerprint)."""
+    nodes = sorted({f for _, f in prints})
+    left, group = set(nodes), {}
+    while left:
+        reached = todo = {left.pop()}
+        while todo:
+            todo = {y for y in left for x in todo if (x ^ y).bit_count() <= distance}
+            left -= todo
+            reached = reached | todo
+        low = min(i for i, f in prints if f in reached)
+        group |= dict.fromkeys(reached, low)
+    return {i: group[f] for i, f in prints}
+
+
+def runs(w, exponent=4, shortest=6):
+    """(start, length, period) of every run, by start, then period."""
+    out = []
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(shortest, exponent * q) and not any(
+                    all(w[k] == w[k + p] for k in range(i, i + length - p)) for p in range(1, q)):
+                out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    dropped = {i for start, length, q in found for i in range(start + q, start + length)}
+    return " ".join(x for i, x in enumerate(w) if i not in dropped)
+
+
+def periodic_tail(doc_id, text):
+    """The words with the periodic tail that the id asks for."""
+    w, h = words(text), zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if h % 10 or not w:
+        return w
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """{row number: (code, error)} and the digest of the codebooks; rows: (vec_id, vector)."""
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    width = len(whole[0]) // parts
+    cut = [[v[p * width:(p + 1) * width] for p in range(parts)] for v in whole]
+    ids = sorted({i for i, _ in rows})[:entries]
+    first = [min(whole[n] for n, r in enumerate(rows) if r[0] == i) for i in ids]
+    books = [[v[p * width:(p + 1) * width] for v in first] for p in range(parts)]
+
+    def assigned():
+        return [[min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(books[p])) for p, x in enumerate(v)] for v in cut]
+
+    for _ in range(rounds):
+        found = assigned()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                own = [v[p] for v, f in zip(cut, found) if f[p][1] == k]
+                if own:
+                    books[p][k] = [sum(x) // len(own) for x in zip(*own)]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return {n: ("".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for n, f in enumerate(assigned())}, digest
