@@ -17,6 +17,8 @@ BITS, SHINGLE, SEED = 64, 3, 42
 BLOCKS = 5
 #: Fingerprints of a key beyond which its members meet by their neighbourhoods instead of pairwise.
 CROWD = 32
+#: Fingerprints that a task reads at least, where there are so many.
+NODES = 200_000
 #: Bytes of one text that are cut into words at once.
 CHUNK = 1 << 20
 
@@ -25,21 +27,17 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 def _shingles(text):
     """The shingles of a text, repeats included, in lists of bounded size."""
-    text, start, tail = text.lower(), 0, []
+    text, start, tail, few = text.lower(), 0, [], True
     while start < len(text):
         found = _WHITE.search(text, start + CHUNK)
         stop = found.start() if found else len(text)
         words = tail + text[start:stop].split()
         if len(words) >= SHINGLE:
+            few = False
             yield list(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))))
-            tail = words[1 - SHINGLE:]
-        elif start == 0 and stop == len(text):
-            if words:
-                yield [b" ".join(words)]
-            return
-        else:
-            tail = words
-        start = stop
+        tail, start = words[1 - SHINGLE:], stop
+    if few and tail:
+        yield [b" ".join(tail)]
 
 
 def _fingerprint(text):
@@ -128,7 +126,8 @@ def near_copies(docs, distance=2):
     joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     lowest = joined.groupBy("component").agg(F.min("first").alias("lowest"))
     linked = joined.select("fp", "component").join(lowest, "component").select("fp", "lowest")
-    named = nodes.join(linked, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("lowest", "first").alias("component_id"))
+    # kept for itself, so that both sides of the last join are plain shuffles and the rows of a hot fingerprint are split
+    named = saved(nodes.join(linked, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("lowest", "first").alias("component_id")), NODES)
     return base.join(named, "fingerprint", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), BITS // 4, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
