@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("report_queries", "cleaning_queries", "search_queries", "page_queries", "stream_queries", "io_queries")
+_MODULES = ("report_queries", "cleaning_queries", "search_queries", "page_queries", "stream_queries", "io_queries", "dataset_queries")
 
 
 def _merged(attribute):

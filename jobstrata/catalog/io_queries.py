@@ -5,11 +5,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobstrata.catalog.report_queries import star_cubes
+from jobstrata.catalog.report_queries import LISTS, ON_DOCUMENTS, document_cubes, star_cubes
 from jobstrata.catalog.report_sql import REPORT_SQL, star
 from jobstrata.catalog.search_queries import LINE
 from jobstrata.plans.registry import SECTIONS
-from jobstrata.plans.report import build_report, report_document, write_report
+from jobstrata.plans.report import OPEN_SECTIONS, build_report, report_document, section_path, write_report
 from jobstrata.sources import readers, writers
 from jobstrata.sources.tables import document_postings, table
 from jobstrata.streaming.files import work_dir
@@ -82,6 +82,58 @@ def report_bodies_query(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Values that are summed as numbers; all others as hashes of their text.
+NUMBER = "^-?[0-9]+([.][0-9]*)?([eE][-+]?[0-9]+)?$"
+
+
+def columns_sql(name, sql):
+    """One row for each column of a section: rows, values, their sum and that of text hashes."""
+    return f"""SELECT '{name}' AS section, column_name, count(*) AS n_rows, count(value) AS n_values,
+        CAST(coalesce(sum(CAST(CASE WHEN regexp_matches(value, '{NUMBER}') THEN CAST(value AS DOUBLE) END AS DECIMAL(38, 6))), 0) AS DOUBLE) AS number_sum,
+        CAST(coalesce(sum(CASE WHEN NOT regexp_matches(value, '{NUMBER}') THEN CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) END), 0) AS BIGINT) AS text_sum
+      FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR column_name IN (*))
+      GROUP BY column_name"""
+
+
+def column_sums(rows):
+    """The same of rows (section, fields), fields being a map from column name to value as text."""
+    cells = rows.select("section", F.explode("fields").alias("column_name", "value"))
+    lists = reduce(lambda a, b: a | b, [(F.col("section") == n) & (F.col("column_name") == c) for n, c in LISTS.items()])
+    value = F.when(lists, F.regexp_replace("value", r"^\[|\]$", "")).otherwise(F.col("value"))
+    number = F.when(value.rlike(NUMBER), value.cast("double").cast("decimal(38,6)"))
+    text = F.when(~value.rlike(NUMBER), F.conv(F.substring(F.md5(value.cast("binary")), 1, 8), 16, 10).cast("long"))
+    return cells.groupBy("section", "column_name").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n_values"), F.coalesce(F.sum(number), F.lit(0)).cast("double").alias("number_sum"),
+        F.coalesce(F.sum(text), F.lit(0)).cast("long").alias("text_sum"))
+
+
+@query("report_document_columns", " UNION ALL ".join(columns_sql(name, REPORT_SQL[name]) for name in SECTIONS))
+def report_columns_query(spark, sf_dir):
+    """All sections through the report documents, column by column: rows, values, their sum and that of text hashes.
+
+    The sections that read titles are a report over the documents, all others one over the star tables. Each report is built at once,
+    written, nested into its document, and the document is written and read back. Open sections are read from the table that
+    the document names.
+    """
+    place, parts = work_dir(spark, "report"), []
+    of_texts = {name for name in SECTIONS if name.startswith(ON_DOCUMENTS)}
+    reports = (("star", star_cubes, [n for n in SECTIONS if n not in of_texts], ("base", "company")),
+               ("documents", document_cubes, sorted(of_texts), ("token", "bigram")))
+    for label, cubes_of, names, frames in reports:
+        cubes = cubes_of(spark, sf_dir)
+        saved = write_report(build_report(cubes, names, frames), f"{place}/{label}")
+        cubes.release()
+        report_document(saved).write.text(f"{place}/{label}-document")
+        document = spark.read.text(f"{place}/{label}-document", wholetext=True)
+        nested = [name for name in names if name not in OPEN_SECTIONS]
+        bodies = F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.get_json_object("value", section_path(n, names)).alias("body")) for n in nested)))
+        parts.append(document.select(bodies.alias("s")).select("s.section", F.explode(F.from_json("s.body", "array<map<string,string>>")).alias("fields")))
+        for name in set(names) & set(OPEN_SECTIONS):
+            fields = F.map_from_arrays(F.array(*map(F.lit, saved[name].columns)), F.array(*(F.col(c).cast("string") for c in saved[name].columns)))
+            parts.append(saved[name].select(F.lit(name).alias("section"), fields.alias("fields")))
+    return column_sums(reduce(DataFrame.unionByName, parts))
+
+
 @query("custom_vocab_roundtrip", """SELECT DISTINCT p_name AS category FROM part""")
 def custom_vocab_roundtrip_query(spark, sf_dir):
     """Labels of any number written by all tasks and read back."""

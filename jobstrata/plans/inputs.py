@@ -29,13 +29,13 @@ class PostingCubes:
     def rows(self, *columns) -> DataFrame:
         return self._rows(columns)
 
-    def shared(self) -> "PostingCubes":
-        """Persist the frames several sections read."""
-        self._base = count_cube(self.rows(*BASE_KEYS, "record_id", *FLAGS), *BASE_KEYS).persist()
-        self._held = {
-            "company": self._company().persist(), "token": self._tokens().persist(),
-            "bigram": self._bigrams().persist(),
-        }
+    def shared(self, *frames) -> "PostingCubes":
+        """Persist the frames several sections read: all of them, or those named of base, company, token and bigram."""
+        makers = {"company": self._company, "token": self._tokens, "bigram": self._bigrams}
+        frames = frames or ("base", *makers)
+        if "base" in frames:
+            self._base = count_cube(self.rows(*BASE_KEYS, "record_id", *FLAGS), *BASE_KEYS).persist()
+        self._held = {name: make().persist() for name, make in makers.items() if name in frames}
         return self
 
     def release(self):

@@ -6,6 +6,8 @@ size is bounded by years, periods, fixed vocabularies or a top list; the section
 the data and are always named by their table, whatever their size.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ SCHEMA_VERSION = "3.0"
 OPEN_SECTIONS = ("loc.flags_min20", "dq.place_names_as_company")
 
 
-def build_report(cubes: PostingCubes, names=None) -> dict:
-    """Section name → DataFrame over shared, persisted inputs; call ``cubes.release()`` after use."""
-    cubes.shared()
+def build_report(cubes: PostingCubes, names=None, frames=()) -> dict:
+    """Section name → DataFrame over shared, persisted inputs (all, or the named frames); call ``cubes.release()`` after use."""
+    cubes.shared(*frames)
     return {name: SECTIONS[name](cubes) for name in (names or SECTIONS)}
 
 
@@ -30,14 +32,27 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.select(*[finite(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def write_report(sections: dict, path: str) -> dict:
-    """Save every section as Parquet and return the saved tables."""
-    saved = {}
-    for name, df in sections.items():
+def write_report(sections: dict, path: str, at_once: int = 8) -> dict:
+    """Save every section as Parquet and return the saved tables.
+
+    Sections are small once the counted frames are held, so several are written at once to keep the cluster busy.
+    """
+    def write(entry):
+        name, df = entry
         target = f"{path}/{name.replace('.', '/')}"
         without_nan(df).write.mode("overwrite").parquet(target)
-        saved[name] = df.sparkSession.read.schema(df.schema).parquet(target)
-    return saved
+        return name, df.sparkSession.read.schema(df.schema).parquet(target)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(pool.map(write, sections.items()))
+
+
+def section_path(name: str, names) -> str:
+    """The JSON path of a section in the document of all `names`."""
+    group, _, leaf = name.partition(".")
+    if leaf:
+        return f"$.{group}.{leaf}"
+    return f"$.{group}.rows" if any(n.startswith(f"{group}.") for n in names) else f"$.{group}"
 
 
 def report_document(sections: dict, separate=OPEN_SECTIONS) -> DataFrame:
