@@ -102,6 +102,30 @@ def test_sharding(spark, shards, monkeypatch):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_even_cuts():
+    """Cuts keep the smallest capacity and the number of shards, and leave no shard empty beside a large group."""
+    rng = random.Random(4)
+    for _ in range(400):
+        cells = [(i, i, rng.choice([1, rng.randrange(1, 30), rng.randrange(1, 400)]), 1, 64) for i in range(rng.randrange(1, 40))]
+        shards, sizes = rng.randrange(1, 20), [c[2] for c in cells]
+        capacity = sharding._smallest(cells, shards, max(sizes), sum(sizes), False)
+        cuts = sharding._even(cells, capacity, shards)
+        bounds = [0, *cuts, len(cells)]
+        parts = [sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:])]
+        assert len(parts) <= shards and all(parts) and max(parts) == capacity == brute.smallest_capacity(sizes, shards)
+
+
+def test_sharding_beside_a_huge_group(spark):
+    """One text holds a third of all rows: its shard is as large as it must be, all others share the rest."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('copy ', 20) ELSE repeat(concat('t', id, ' '), 15) END AS text")
+    rows = sharding.shard_documents(docs).toPandas()
+    sizes = rows.groupby("shard")["size"].sum()
+    huge = rows["size"][rows.doc_id == 0].iloc[0] * 2000
+    assert len(sizes) == 16 and sizes.max() == huge and sorted(rows.doc_id) == list(range(6000))
+    others = sizes[sizes < huge]
+    assert len(others) == 15 and others.max() < 1.5 * others.mean()
+
+
 def test_sharding_edges(edge_docs, no_docs):
     rows = sharding.shard_documents(edge_docs).collect()
     assert len(rows) == edge_docs.count() and {r.law for r in rows} == {"bytes"}
