@@ -1,5 +1,7 @@
 """Text columns of Arrow batches as NumPy arrays: words, hashes and per-row reductions."""
 
+import ctypes
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +40,13 @@ def pieces(batches, *columns, limit=PIECE):
         yield from slices(batch, np.sum(lengths, axis=0, dtype=np.int64), limit)
 
 
+def release():
+    """Gives freed memory back to the system: executors keep their workers, and these what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only the usual C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column):
     """The bytes of all texts in one array and the offsets between them; a null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

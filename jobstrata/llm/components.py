@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from jobstrata.llm.shared import saved
 
+#: Edges that a task reads at least, where there are so many.
+EDGES = 200_000
+
 
 def _large_star(edges):
-    """Links every larger neighbour of a node to the smallest node near it."""
+    """Links every larger neighbour of a node to the smallest node near it; edges may come repeatedly."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges):
@@ -26,13 +29,13 @@ def components(edges):
     end when the edges are stars; their number grows with the logarithm of the diameter. Edges with a null
     or from a node to itself say nothing.
     """
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), EDGES)
     state = None
     while True:
         check = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).head()
         if state == check:
             break
         state = check
-        edges = saved(_small_star(_large_star(edges)))
+        edges = saved(_small_star(_large_star(edges)), EDGES)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

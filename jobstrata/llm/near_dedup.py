@@ -15,6 +15,9 @@ SHINGLE = 5
 #: similarity of 0.85, all eight chunks have two errors or more with probability 2e-8.
 COORDINATES, CHUNK, ERRORS = 32, 4, 1
 
+#: Pairs, links and named nodes that a task reads at least, where there are so many.
+PAIRS = 100_000
+
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -79,6 +82,7 @@ def signatures(docs):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
                                              pa.array(arrays.signed(keys.reshape(-1)), pa.int64()))
             yield arrays.record_batch(schema, batch.column("doc_id"), np.diff(rows), arrays.signed(h1), arrays.signed(h2), lists)
+        arrays.release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
@@ -96,6 +100,7 @@ def confirmed(pairs, texts, percent):
             common = np.bincount(row_x[both], minlength=len(part))
             union = np.diff(of_x) + np.diff(of_y) - common
             yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * union)).cast(schema)
+        arrays.release()
 
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(
         F.col("rep").alias("b"), F.col("text").alias("text_b"))
@@ -121,6 +126,7 @@ def _shingles(texts, rows):
             owner = pa.array(arrays.owners(at))
             yield arrays.record_batch(schema, batch.column("rep").take(owner), batch.column("component").take(owner),
                                       np.repeat(np.diff(at), np.diff(at)), arrays.signed(values))
+        arrays.release()
 
     return texts.join(rows.select("rep", "component").distinct(), "rep").select("rep", "component", "text").mapInArrow(
         run, "rep long, component long, n long, shingle long")
@@ -201,27 +207,27 @@ def near_duplicates(docs, percent=85):
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = saved(signatures(text))
-    sets = base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # sets and names are kept for themselves, so that both sides of their joins are plain shuffles and copies of one text are split
+    sets = saved(base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), PAIRS)
     keyed = (base.join(sets, ["h1", "h2"]).where("doc_id = rep").select("rep", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = saved(keyed.join(shared.select("key", "low"), "key").select("key", "rep", "low"))
     stars = _stars(members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     texts = saved(text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
                   .select(F.col("doc_id").alias("rep"), "text"))
-    links = saved(confirmed(stars, texts, percent))
-    found = saved(components(links))
+    links = saved(confirmed(stars, texts, percent), PAIRS)
+    found = saved(components(links), PAIRS)
 
     rows = saved(_mixed(_labelled(members.select("key", "rep"), found)))
-    links = saved(links.union(confirmed(saved(_central(rows)), texts, percent)))
-    found = saved(components(links))
+    links = saved(links.union(confirmed(saved(_central(rows), PAIRS), texts, percent)), PAIRS)
+    found = saved(components(links), PAIRS)
     rows = _mixed(_labelled(rows.select("key", "rep"), found))
     rows = saved(_narrowed(saved(rows), texts, percent))
     rows = saved(_narrowed(rows, texts, percent))
     pairs = _pairs(rows, percent)
-    found = components(links.union(confirmed(saved(pairs), texts, percent)))
+    found = components(links.union(confirmed(saved(pairs, PAIRS), texts, percent)))
 
-    return (base.join(sets, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-            .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("component_id", F.coalesce("component", "rep"))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+    named = saved(_labelled(sets, found).select("h1", "h2", "component"), PAIRS)
+    return base.join(named, ["h1", "h2"], "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -11,7 +11,17 @@ def folder(spark):
     return context.getCheckpointDir()
 
 
-def saved(df):
-    """The frame, computed once and kept in the shared folder; Spark removes the files when nothing uses them."""
+def saved(df, rows=None):
+    """The frame, computed once and kept in the shared folder; Spark removes the files when nothing uses them.
+
+    With `rows`, partitions are read together until they hold about that many rows, as a small frame of many partitions would
+    make many map tasks, and as many files, in every shuffle that follows. The driver also drops what it no longer refers to: only
+    then does Spark delete the shuffle files behind earlier frames that are kept like this one.
+    """
+    context = df.sparkSession.sparkContext
     folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if rows:
+        out = out.coalesce(max(1, -(-out.count() // rows)))
+        context._jvm.System.gc()
+    return out
