@@ -153,6 +153,7 @@ def prediction(spark, filters):
     def predict(texts: pa.Array) -> pa.Array:
         parts = [shared.value.predict(batch.column("text"))
                  for batch in arrays.pieces([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
+        arrays.release()
         return pa.StructArray.from_arrays(
             [pa.array([lang for langs, _ in parts for lang in langs], pa.string()),
              pa.array(np.concatenate([np.zeros(0), *(scores for _, scores in parts)]), pa.float64())], ["lang_pred", "score"])

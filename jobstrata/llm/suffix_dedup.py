@@ -10,6 +10,8 @@ from jobstrata.llm.shared import saved
 
 #: Shortest repeated passage in words, and the words by which suffixes are sorted first.
 PASSAGE, PREFIX = 50, 20
+#: Repeated prefixes that a task reads at least, where there are so many.
+KEYS = 200_000
 
 
 def _text(docs):
@@ -68,6 +70,7 @@ def suffixes(docs, passage=PASSAGE, prefix=PREFIX):
             segment = arrays.span_hash(running, start, start + count + passage - 1)
             yield arrays.record_batch(schema, arrays.signed(order[place]), arrays.signed(segment), batch.column("doc_id").take(pa.array(row)),
                                       (start - firsts[row]).astype(np.int32), count.astype(np.int32))
+        arrays.release()
 
     return _text(docs).mapInArrow(run, "h long, s long, doc_id long, start int, windows int")
 
@@ -88,6 +91,7 @@ def _extended(docs, wanted, passage):
             at = begin + firsts[rows[which]]
             yield arrays.record_batch(schema, h[which], arrays.signed(arrays.span_hash(running, at, at + passage)),
                                       batch.column("doc_id").take(pa.array(rows[which])), begin.astype(np.int32))
+        arrays.release()
 
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "windows")).alias("segments"))
     return _text(docs).join(by_doc, "doc_id").mapInArrow(run, "h long, w long, doc_id long, start int")
@@ -104,8 +108,9 @@ def repeats(docs, passage=PASSAGE, prefix=PREFIX):
     """
     place, mark = F.struct("doc_id", "start"), F.xxhash64("doc_id", "start")
     every = suffixes(docs, passage, prefix)  # read twice rather than kept: most prefixes occur once
-    twice = every.groupBy("h").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).where("one <> other")
-    found = saved(every.join(twice.select("h"), "h"))
+    # kept for itself, so that both sides of the join are plain shuffles and a hot prefix is split
+    twice = saved(every.groupBy("h").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).where("one <> other").select("h"), KEYS)
+    found = saved(every.join(twice, "h"))
     segments = found.groupBy("h", "s").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("windows").alias("windows"))
     marks = saved(segments.join(segments.groupBy("h").agg(F.count("*").alias("kinds")), "h"))
     wanted = marks.where("kinds > 1").select("h", "low.doc_id", "low.start", "windows")
