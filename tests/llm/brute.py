@@ -182,3 +182,63 @@ def vector_codes(rows, parts=16, entries=64, rounds=2):
                     books[p][k] = [sum(x) // len(own) for x in zip(*own)]
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     return {n: ("".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for n, f in enumerate(assigned())}, digest
+
+
+def measured(text):
+    """The measures of the quality rules, and whether the base rules fail."""
+    n_words, chars, symbols, dup_lines, repeated = base_counts(text)
+    uppers, bangs = len(re.findall("[A-ZÀ-ÖØ-Þ]", text or "")), (text or "").count("!")
+    values = {"symbol_share": symbols / max(chars, 1), "repeat_share": repeated / max(n_words, 1), "dup_lines": float(dup_lines),
+              "upper_share": uppers / max(chars, 1), "bang_share": bangs / max(n_words, 1)}
+    return values, n_words < 50 or 100 * repeated > 50 * n_words
+
+
+def joint_rules(docs, labels, grids, risk=0.05, failure=0.05, weight=20):
+    """{stratum: {rule: cutoff}} of the certified joint rules; docs: (doc_id, text, stratum), labels: (doc_id, quality)."""
+    quality = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            quality[i] = min(q, quality.get(i, q))
+    rows = defaultdict(list)
+    for i, text, stratum in docs:
+        values, fails = measured(text)
+        if not fails and stratum is not None and i in quality:
+            rows[stratum].append((values, quality[i] == 0, zlib.crc32(str(i).encode()) % 2))
+
+    def gain(hit):
+        return sum(1 if bad else -weight for bad in hit)
+
+    joint = {}
+    for stratum, own in rows.items():
+        fit = [(v, bad) for v, bad, half in own if half == 0]
+        best = []
+        for place, (rule, cuts) in enumerate(grids.items()):
+            found = [(gain(bad for v, bad in fit if v[rule] > c), number) for number, c in enumerate(cuts)]
+            if max(found)[0] > 0:
+                best.append((-max(found)[0], place, rule, max(found)[1]))
+        left, kept = fit, {}
+        for _, _, rule, number in sorted(best):
+            hit = [bad for v, bad in left if v[rule] > grids[rule][number]]
+            left = [(v, bad) for v, bad in left if v[rule] <= grids[rule][number]]
+            if gain(hit) > 0:
+                kept[rule] = number
+        if kept:
+            joint[stratum] = kept
+    out = {}
+    for stratum, kept in joint.items():
+        good = [v for v, bad, half in rows[stratum] if half == 1 and not bad]
+        levels = []
+        for level in range(max(map(len, grids.values()))):
+            cuts = {rule: grids[rule][n + level] for rule, n in kept.items() if n + level < len(grids[rule])}
+
+            def rejects(v):
+                return any(v[rule] > c for rule, c in cuts.items())
+
+            wrong = sum(map(rejects, good))
+            tail = math.fsum(math.comb(len(good), k) * risk**k * (1 - risk) ** (len(good) - k) for k in range(wrong + 1))
+            gained = gain(bad for v, bad, half in rows[stratum] if half == 0 and rejects(v))
+            if wrong <= len(good) * risk and tail <= failure / len(joint) and gained > 0:
+                levels.append((-gained, level, cuts))
+        if levels:
+            out[stratum] = min(levels, key=lambda x: x[:2])[2]
+    return out

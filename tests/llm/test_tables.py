@@ -76,6 +76,23 @@ def test_joint_rule_of_few_labels(spark):
     assert bad & passing and passing - {r.doc_id for r in rows if r.kept} == bad & passing
 
 
+def test_quality_query_equals_brute_force(spark):
+    """The whole result over the tables of sf0.01, where a joint rule is certified, against plain counting."""
+    place = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{place}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{place}/labels.parquet").select("doc_id", "quality").collect()]
+    rules = brute.joint_rules(docs, labels, quality_rules.RULES)
+    want = {}
+    for i, text, stratum in docs:
+        values, fails = brute.measured(text)
+        rejected = any(values[rule] > cut for rule, cut in rules.get(stratum, {}).items())
+        want[i] = (*brute.base_counts(text), fails, not fails and not rejected)
+    rows = QUERIES["op4_quality_rules"](spark, place).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert {r.doc_id: tuple(r[c] for c in names) for r in rows} == want and len(rows) == len(docs)
+    assert rules and sum(not w[-1] and not w[-2] for w in want.values()) > 0
+
+
 def test_quality_edges(edge_docs, no_docs, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge(edge_docs, labels).collect()
