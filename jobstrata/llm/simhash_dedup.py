@@ -101,7 +101,8 @@ def links(nodes, distance=2, blocks=BLOCKS, crowd=CROWD):
     masks = block_masks(blocks, distance)
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks))))
     keyed = nodes.select("fp", keys.alias("k")).select("fp", "k.choice", "k.bits")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("held")).where("held > 1")
+    # kept for itself, so that both sides of the join are plain shuffles and the members of a hot key are split
+    sizes = saved(keyed.groupBy("choice", "bits").agg(F.count("*").alias("held")).where("held > 1"), NODES)
     shared = saved(keyed.join(sizes, ["choice", "bits"]).select("fp", "choice", "bits", "held"))
     few = shared.where(F.col("held") <= crowd)
     pairs = (few.select("choice", "bits", F.col("fp").alias("a")).join(few.select("choice", "bits", F.col("fp").alias("b")), ["choice", "bits"])
