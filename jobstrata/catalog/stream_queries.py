@@ -22,9 +22,12 @@ def query(name, sql=None):
 
 
 def table_stream(spark, sf_dir, name):
-    """A table's files as a stream."""
+    """A table's files as a stream, be the table one file or a folder of files.
+
+    The last letter stands as a pattern: Spark takes a plain path for a folder.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("stream_ingest", """SELECT record_id, event_id, event_type FROM (SELECT CAST(user_id AS VARCHAR) AS record_id, event_id, event_type,
