@@ -106,8 +106,12 @@ def anchors_query(spark, sf_dir):
 
 # --- pages rendered from orders ------------------------------------------------------------------
 
+#: Pages that a task reads at most.
+PAGES = 50_000
+
+
 def _pages(spark, sf_dir, markup, year="year(o_orderdate)"):
-    o = spread(table(spark, sf_dir, "orders"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), PAGES)
     return o.select(F.col("o_orderkey").cast("string").alias("page_url"),
                     F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("ts"),
                     F.expr(f"CAST({year} AS INT)").alias("year"), F.expr(markup).alias("html"))

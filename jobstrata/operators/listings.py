@@ -10,10 +10,11 @@ from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,16 @@ from jobstrata.schemas import LISTING_RECORD
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "template"}
+# plain tags, as most pages have throughout, and the text between them
+_PLAIN = re.compile(
+    r'<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z_:][-a-zA-Z0-9_:.]*="[^"<>&]*")*)[ \t\n\r\f]*(/?)>'
+    r"|</([a-zA-Z][a-zA-Z0-9]*)>|([^<]+)")
+_PLAIN_ATTRIBUTE = re.compile(r'([a-zA-Z_:][-a-zA-Z0-9_:.]*)="([^"]*)"')
+# elements whose content follows other rules
+_RAW = {"plaintext", *HTMLParser.CDATA_CONTENT_ELEMENTS, *getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     index: int
     tag: str
@@ -80,18 +88,39 @@ class Page(HTMLParser):
         self.nodes, self.texts, self._open, self._pending = [], [], [], ""
         self.by_class, self.by_tag = defaultdict(list), defaultdict(list)
         self.children = defaultdict(list)  # by parent: elements, or the texts of bare strings (blank ones as "")
-        self._found = {}
-        self.feed(html)
-        self.close()
+        self._found, self._silent = {}, 0
+        rest = self._read_plain(html)
+        if rest:
+            self.feed(rest)
+            self.close()
         self._flush()
         while self._open:
             self._shut()
 
+    def _read_plain(self, html):
+        """Read up to the first thing that is no plain tag or text, and give what is left to the full parser."""
+        at, match = 0, _PLAIN.match
+        while found := match(html, at):
+            tag, attrs, closed, end, text = found.groups()
+            if text is not None:
+                self._pending += unescape(text) if "&" in text else text
+            elif end is not None:
+                self.handle_endtag(end.lower())
+            else:
+                tag = tag.lower()
+                if tag in _RAW:
+                    break
+                self.handle_starttag(tag, [(k.lower(), v) for k, v in _PLAIN_ATTRIBUTE.findall(attrs)] if attrs else ())
+                if closed:
+                    self.handle_endtag(tag)
+            at = found.end()
+        return html[at:]
+
     def _flush(self):
         if not self._pending:
             return
         text, self._pending = self._pending.strip(), ""
-        if any(self.nodes[i].tag in _SILENT for i in self._open):
+        if self._silent:
             return
         self.children[self._open[-1] if self._open else -1].append(text)
         if text:
@@ -100,25 +129,29 @@ class Page(HTMLParser):
     def _shut(self):
         node = self.nodes[self._open.pop()]
         node.end, node.last_text = len(self.nodes), len(self.texts)
+        self._silent -= node.tag in _SILENT
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         parent = self._open[-1] if self._open else -1
         held = {k: v or "" for k, v in attrs}
-        node = Node(len(self.nodes), tag, held, held.get("class", "").split(), parent, first_text=len(self.texts),
-                    place=len(self.children[parent]))
+        siblings, index = self.children[parent], len(self.nodes)
+        node = Node(index, tag, held, held["class"].split() if "class" in held else [], parent, 0, len(self.texts), 0, len(siblings))
         self.nodes.append(node)
-        self.children[parent].append(node)
-        self.by_tag[tag].append(node.index)
-        for css in dict.fromkeys(node.classes):
-            self.by_class[css].append(node.index)
-        self._open.append(node.index)
+        siblings.append(node)
+        self.by_tag[tag].append(index)
+        for css in dict.fromkeys(node.classes) if node.classes else ():
+            self.by_class[css].append(index)
+        self._open.append(index)
+        self._silent += tag in _SILENT
         if tag in _VOID:
             self._shut()
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.nodes[i].tag == tag for i in self._open):
+        if self._open and self.nodes[self._open[-1]].tag == tag:
+            self._shut()
+        elif any(self.nodes[i].tag == tag for i in self._open):
             while self.nodes[self._open[-1]].tag != tag:
                 self._shut()
             self._shut()
@@ -144,24 +177,32 @@ class Page(HTMLParser):
             up = self.nodes[up].parent
         return not above
 
-    def _pool(self, step, within):
-        """Indexes inside an element that share the step's class or tag, ascending."""
+    def _matching(self, steps, within, first=False):
+        """Indexes of the matching elements inside an element, ascending, or of the first; only those with the last step's class or tag are looked at."""
+        last, found = steps[-1], []
+        listed = self.by_class.get(last.css) if last.css else self.by_tag.get(last.tag)
+        if not listed:
+            return found
         low, high = (within.index + 1, within.end) if within is not None else (0, len(self.nodes))
-        listed = self.by_class.get(step.css, ()) if step.css else self.by_tag.get(step.tag, ())
-        return listed[bisect_left(listed, low):bisect_left(listed, high)]
+        for place in range(bisect_left(listed, low), len(listed)):
+            i = listed[place]
+            if i >= high:
+                break
+            if self._matches(self.nodes[i], steps):
+                found.append(i)
+                if first:
+                    break
+        return found
 
     def select(self, selectors, within=None):
         """Matching elements in document order."""
-        found = {i for steps in _parsed(selectors) for i in self._pool(steps[-1], within)
-                 if self._matches(self.nodes[i], steps)}
-        return [self.nodes[i] for i in sorted(found)]
+        found = [i for steps in _parsed(selectors) for i in self._matching(steps, within)]
+        return [self.nodes[i] for i in sorted(set(found))] if found else []
 
     def one(self, selectors, within=None):
         """First matching element."""
-        firsts = (next((i for i in self._pool(steps[-1], within) if self._matches(self.nodes[i], steps)), None)
-                  for steps in _parsed(selectors))
-        best = min((i for i in firsts if i is not None), default=None)
-        return None if best is None else self.nodes[best]
+        firsts = [i for steps in _parsed(selectors) for i in self._matching(steps, within, first=True)]
+        return self.nodes[min(firsts)] if firsts else None
 
     def first_text_of(self, selectors, within, longer_than=0):
         """Text of the first element of each selector, in selector order, first long enough."""
@@ -324,16 +365,25 @@ def era_profile(source: str, domain: str) -> ListingProfile:
 def page_candidates(html: Column, year: Column, profile: ListingProfile, layout: str) -> Column:
     """Array of candidate entries of a page in one layout, in document order; none for a null page."""
     names = [f.name for f in LISTING_RECORD]
+    kinds = {T.StringType(): pa.string(), T.IntegerType(): pa.int32()}
+    record = pa.struct([(f.name, kinds[f.dataType]) for f in LISTING_RECORD])
 
     def read(source, page_year):
-        if not isinstance(source, str) or not source:
+        if not source:
             return []
-        found = _LAYOUTS[layout](Page(source), profile, None if pd.isna(page_year) else int(page_year))
-        return [{**{n: e.get(n) for n in names}, "pos": i} for i, e in enumerate(found)]
-
-    @F.pandas_udf(T.ArrayType(LISTING_RECORD))
-    def candidates(sources: pd.Series, years: pd.Series) -> pd.Series:
-        return pd.Series([read(s, y) for s, y in zip(sources, years)])
+        found = list(_LAYOUTS[layout](Page(source), profile, page_year))
+        for i, e in enumerate(found):
+            e["pos"] = i
+        return found
+
+    @F.arrow_udf(T.ArrayType(LISTING_RECORD))
+    def candidates(sources: pa.Array, years: pa.Array) -> pa.Array:
+        entries, ends = [], [0]
+        for source, page_year in zip(sources.to_pylist(), years.to_pylist()):
+            entries += read(source, page_year)
+            ends.append(len(entries))
+        columns = [pa.array([e[n] for e in entries], record.field(n).type) for n in names]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(record)))
 
     # kept apart from the projections around it, so that a page is read once a layout and never inside a lambda
     return candidates.asNondeterministic()(html, year)

@@ -38,13 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int = None) -> DataFrame:
     """Even out rows ahead of costly per-row work, only when there are fewer splits than cores.
 
-    Large inputs have more splits than cores and pass through untouched.
+    Large inputs have more splits than cores and pass through untouched, unless ``rows`` says how many
+    a task may hold: narrow rows are many in a split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def star_postings(spark: SparkSession, sf_dir: str, columns=ALL_COLUMNS) -> DataFrame:

@@ -1,8 +1,12 @@
 """Tables as large ones come: folders of files, many rows a group."""
 
+import random
+
 import pytest
 
 from jobstrata.catalog import stream_queries
+from jobstrata.operators import listings
+from jobstrata.sources.tables import spread
 
 
 @pytest.fixture(scope="module")
@@ -18,3 +22,29 @@ def folders(spark, sf_dir, tmp_path_factory):
 def test_streams_read_tables_in_folders(spark, sf_dir, folders, name):
     run = stream_queries.QUERIES[name]
     assert sorted(map(tuple, run(spark, folders).collect())) == sorted(map(tuple, run(spark, sf_dir).collect())) != []
+
+
+PAGE_PARTS = [
+    '<div class="oferta">', "</div>", '<li class="job x">', "</li>", '<a href="/12345/abc-d">', "</a>", "<br>", "<br/>", '<img src="a>b">', "a < b",
+    "&amp; x", "&lt", "<!-- c -->", '<script>var a="<p>";</script>', "<h2>", "</h2>", "<a href='/x?ref=1'>", "Texto 01/02/2010", '<DIV CLASS="item">',
+    "<!DOCTYPE html>", '<div class="ofertasMiddle"/>', "&", "<", "</p >", "<template>", "</template>", '<a href="/emprego/x" class="dt  date">', "<div data-x>"]
+
+
+def test_plain_reading_equals_the_full_parser(monkeypatch):
+    """Plain tags and text are read without the full parser, and both build the same page."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(PAGE_PARTS) for _ in range(draw.randint(0, 40))) for _ in range(2000)]
+    plain = [listings.Page(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(listings.Page, "_read_plain", lambda self, html: html)
+        full = [listings.Page(t) for t in texts]
+    assert [(p.nodes, p.texts) for p in plain] == [(p.nodes, p.texts) for p in full]
+    with monkeypatch.context() as m:
+        m.setattr(listings.Page, "feed", None)  # a plain page never comes to the full parser
+        page = listings.Page('<ul><li class="oferta"><a href="/1">x &amp; y</a><br/></li></ul>')
+    assert page.text(page.one("li.oferta a")) == "x & y"
+
+
+def test_pages_are_dealt_by_their_number(spark):
+    """Narrow rows that become pages: a task holds at most so many of them."""
+    assert spread(spark.range(0, 1000, 1, 1), 50).rdd.getNumPartitions() == 20
