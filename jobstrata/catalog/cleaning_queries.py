@@ -12,7 +12,7 @@ from jobstrata.functions.text import (
 from jobstrata.operators import annotations as ann_ops
 from jobstrata.operators.aggregates import coverage, counts_by_year, value_counts_share
 from jobstrata.operators.rows import (
-    align_schema, dedup_first, incremental_new, prepare_dataset, split_accept_reject, union_sources,
+    align_schema, deal, dedup_first, incremental_new, prepare_dataset, split_accept_reject, union_sources,
 )
 from jobstrata.plans.enrichment import enrich
 from jobstrata.schemas import ENRICHED_POSTING
@@ -100,8 +100,18 @@ def title():
     return F.col("title")
 
 
+def titles(spark, sf_dir, *keys):
+    """Every different title, and its rows: what is judged by the title alone is judged once a title."""
+    return counted_titles(titled_postings(spark, sf_dir).groupBy("title", *keys).agg(F.count(F.lit(1)).alias("n")))
+
+
+def counted_titles(counted):
+    """Counted titles over all tasks; the title is tied to the count, or filters on it would move below the count and judge every row."""
+    return deal(counted, "title").withColumn("title", F.when(F.col("n") > 0, F.col("title")))
+
+
 def per_title(df, *columns):
-    return df.groupBy("title", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy("title", *columns).agg(F.sum("n").alias("n"))
 
 
 SRC = f"WITH {TITLED_SQL}, src AS (SELECT * FROM titled)"
@@ -216,7 +226,7 @@ def classify_documents(spark, sf_dir):
 def _flag_query(name, fn, column):
     @query(name, f"{SRC} SELECT title, {FLAG_SQL[column]} AS {column}, {n()} AS n FROM src GROUP BY ALL")
     def run(spark, sf_dir):
-        df = titled_postings(spark, sf_dir).withColumn(column, fn(title()))
+        df = titles(spark, sf_dir).withColumn(column, fn(title()))
         return per_title(df, column)
 
 
@@ -228,22 +238,22 @@ _flag_query("flag_part_time", rules.flag_part_time, "part_time_hint")
 
 @query("classify_seniority", f"{SRC} SELECT title, {SENIORITY_SQL} AS seniority, {n()} AS n FROM src GROUP BY ALL")
 def seniority_query(spark, sf_dir):
-    return per_title(titled_postings(spark, sf_dir).withColumn("seniority", rules.classify_seniority(title())), "seniority")
+    return per_title(titles(spark, sf_dir).withColumn("seniority", rules.classify_seniority(title())), "seniority")
 
 
 @query("classify_category", f"{SRC} SELECT title, {CATEGORY_SQL} AS job_category, {n()} AS n FROM src GROUP BY ALL")
 def category_query(spark, sf_dir):
-    return per_title(titled_postings(spark, sf_dir).withColumn("job_category", rules.classify_category(title())), "job_category")
+    return per_title(titles(spark, sf_dir).withColumn("job_category", rules.classify_category(title())), "job_category")
 
 
 @query("extract_location", f"{SRC}, {LOCATION_CTES} SELECT title, location_extracted, {n()} AS n FROM located GROUP BY ALL")
 def location_query(spark, sf_dir):
-    return per_title(with_location(titled_postings(spark, sf_dir)), "location_extracted")
+    return per_title(with_location(titles(spark, sf_dir)), "location_extracted")
 
 
 @query("extract_company", f"{SRC}, {LOCATION_CTES}, {COMPANY_CTES} SELECT title, company_extracted, {n()} AS n FROM companied GROUP BY ALL")
 def company_query(spark, sf_dir):
-    return per_title(with_company(with_location(titled_postings(spark, sf_dir))), "company_extracted")
+    return per_title(with_company(with_location(titles(spark, sf_dir))), "company_extracted")
 
 
 # --- filters and the enrichment projection ----------------------------------------------------------
@@ -254,7 +264,7 @@ ACCEPTED = f"coalesce(length(title) >= 4 AND NOT regexp_matches(title, '(?i)^htt
 
 @query("strip_noise", f"{SRC} SELECT title, {STRIPPED} AS stripped, {n()} AS n FROM src GROUP BY ALL")
 def strip_noise_query(spark, sf_dir):
-    return per_title(titled_postings(spark, sf_dir).withColumn("stripped", rules.strip_noise(title())), "stripped")
+    return per_title(titles(spark, sf_dir).withColumn("stripped", rules.strip_noise(title())), "stripped")
 
 
 SPLIT = f"{SRC}, clean AS (SELECT * EXCLUDE (title), {STRIPPED} AS title FROM src)"
@@ -262,17 +272,17 @@ SPLIT = f"{SRC}, clean AS (SELECT * EXCLUDE (title), {STRIPPED} AS title FROM sr
 
 @query("is_posting_title", f"{SPLIT} SELECT title, {ACCEPTED} AS accepted, {n()} AS n FROM clean GROUP BY ALL")
 def posting_title_query(spark, sf_dir):
-    df = titled_postings(spark, sf_dir).withColumn("title", rules.strip_noise(title()))
+    df = titles(spark, sf_dir).withColumn("title", rules.strip_noise(title()))
     return per_title(df.withColumn("accepted", rules.is_posting_title(title())), "accepted")
 
 
 @query("split_accept_reject", f"""{SPLIT} SELECT source, {ACCEPTED} AS accepted, {n()} AS records, count(DISTINCT title) AS titles
     FROM clean GROUP BY ALL""")
 def split_query(spark, sf_dir):
-    good, bad = split_accept_reject(titled_postings(spark, sf_dir))
+    good, bad = split_accept_reject(titles(spark, sf_dir, "source"))
     both = good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
     return both.groupBy("source", "accepted").agg(
-        F.count(F.lit(1)).alias("records"), F.count_distinct("title").alias("titles"))
+        F.sum("n").alias("records"), F.count_distinct("title").alias("titles"))
 
 
 ENRICHED_SQL = f"""{SPLIT.replace(', src AS', ', raw AS').replace('FROM src)', 'FROM raw)')},
@@ -284,15 +294,17 @@ DERIVED = ["gender_marker", "is_internship", "remote_hint", "part_time_hint", "s
 
 
 def enriched_postings(spark, sf_dir):
-    stamped = titled_postings(spark, sf_dir).withColumn(
-        "arquivo_timestamp", F.date_format("l_shipdate", "yyyyMMddHHmmss"))
+    """Accepted titles with their number of rows and first timestamp."""
+    counted = counted_titles(titled_postings(spark, sf_dir).groupBy("title").agg(
+        F.min("l_shipdate").alias("first"), F.count(F.lit(1)).alias("n")))
+    stamped = counted.withColumn("arquivo_timestamp", F.date_format("first", "yyyyMMddHHmmss"))
     return enrich(split_accept_reject(stamped)[0])
 
 
 @query("enrich", f"{ENRICHED_SQL} SELECT title, {', '.join(DERIVED)}, min(date_archived) AS first_archived, {n()} AS n FROM enriched GROUP BY ALL")
 def enrich_query(spark, sf_dir):
     return enriched_postings(spark, sf_dir).groupBy("title", *DERIVED).agg(
-        F.min("date_archived").alias("first_archived"), F.count(F.lit(1)).alias("n"))
+        F.min("date_archived").alias("first_archived"), F.sum("n").alias("n"))
 
 
 @query("archived_date", """SELECT strftime(l_shipdate, '%Y%m%d%H%M%S') AS ts, strftime(l_shipdate, '%Y-%m-%d') AS archived,

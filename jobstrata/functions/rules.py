@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobstrata import vocab
-from jobstrata.functions.text import ICASE, WHITESPACE, fold, strip
+from jobstrata.functions.text import ICASE, WHITESPACE, fold, let, strip
 
 
 def first_match(col: Column, rules, default, missing=None) -> Column:
@@ -51,11 +51,9 @@ def strip_noise(title: Column, suffix=vocab.PLATFORM_SUFFIX) -> Column:
 
 def is_posting_title(title: Column, navigation=None) -> Column:
     """False for null, very short, URL-like and navigation titles."""
-    t = strip_noise(title)
     nav = list(navigation or vocab.NAVIGATION_TITLES)
-    return F.coalesce(
-        (F.length(t) >= 4) & ~t.rlike("(?i)^https?://") & ~fold(t).isin(nav), F.lit(False)
-    )
+    return F.coalesce(let(strip_noise(title), lambda t: (
+        (F.length(t) >= 4) & ~t.rlike("(?i)^https?://") & ~fold(t).isin(nav))), F.lit(False))
 
 
 def archived_date(ts: Column) -> Column:

@@ -52,6 +52,12 @@ def dedup_first(df: DataFrame, key, order, keep_missing: bool = False) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """The rows over a fixed number of tasks, ahead of costly work on few narrow rows: those of a small shuffle would otherwise share one task."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def incremental_new(df: DataFrame, seen: DataFrame, key: str = "record_id") -> DataFrame:
     """Rows whose key has not landed yet."""
     return df.join(seen.select(key), key, "left_anti")

@@ -13,7 +13,7 @@ from jobstrata.config import DEFAULTS
 from jobstrata.functions.extract import with_company, with_location
 from jobstrata.functions.rules import archived_date, classify_category, classify_seniority, flag
 from jobstrata.operators.annotations import consolidate_categories, merge_annotations
-from jobstrata.operators.rows import align_schema, dedup_first, mark_accepted, split_accept_reject, union_sources
+from jobstrata.operators.rows import align_schema, deal, dedup_first, mark_accepted, split_accept_reject, union_sources
 
 
 def enrich(df: DataFrame, source: str = None, ts: str = "arquivo_timestamp") -> DataFrame:
@@ -27,6 +27,19 @@ def enrich(df: DataFrame, source: str = None, ts: str = "arquivo_timestamp") ->
     return with_company(with_location(out.withColumns(added)))
 
 
+def enrich_by_title(df: DataFrame, ts: str = "arquivo_timestamp") -> DataFrame:
+    """``enrich`` with every different title judged once: titles repeat, and the rule tables cost far more than a join."""
+    titles = deal(df.select("title").distinct(), "title")
+    derived = enrich(titles).withColumnRenamed("title", "_title")
+    out = df.withColumn("date_archived", archived_date(F.col(ts))) if ts in df.columns else df
+    return out.join(derived, F.col("title").eqNullSafe(F.col("_title"))).drop("_title")
+
+
+def mark_rows(df: DataFrame, names) -> DataFrame:
+    """Rows of one frame that name their source, marked in one pass; other sources go."""
+    return mark_accepted(df.filter(F.col("source").isin(list(names))))
+
+
 def mark_sources(sources: dict) -> DataFrame:
     """All raw per-source frames in one, with cleaned titles and the mark ``accepted``: to be written once."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -35,13 +48,16 @@ def mark_sources(sources: dict) -> DataFrame:
 
 def build_marked(marked: DataFrame, names, annotations: DataFrame = None, order=("row_ord",), settings=DEFAULTS) -> DataFrame:
     """Final postings from the accepted rows of a marked table; ``names`` gives the priority of the sources."""
-    kept = {name: enrich(marked.filter(F.col("accepted") & (F.col("source") == name)).drop("accepted")) for name in names}
-    return finished(kept, annotations, order, settings)
+    names = list(names)
+    if not names:
+        raise ValueError("no input table found")
+    rows = marked.filter(F.col("accepted") & F.col("source").isin(names)).drop("accepted")
+    priority = F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1
+    return finished(enrich_by_title(rows).withColumn("source_priority", priority), annotations, order, settings)
 
 
-def finished(kept: dict, annotations, order, settings) -> DataFrame:
-    """Union, annotations, merged labels, one row a record id."""
-    postings = union_sources(kept)
+def finished(postings: DataFrame, annotations, order, settings) -> DataFrame:
+    """Annotations, merged labels, one row a record id."""
     if annotations is not None:
         postings = merge_annotations(postings, annotations, settings.annotation_threshold,
                                      settings.category_threshold, settings.fallback_category)
@@ -62,5 +78,5 @@ def build_dataset(sources: dict, annotations: DataFrame = None, order=("row_ord"
             kept[name] = None
             continue
         good, bad = split_accept_reject(df, name)
-        kept[name], rejected[name] = enrich(good, name), bad
-    return finished(kept, annotations, order, settings), union_sources(rejected)
+        kept[name], rejected[name] = enrich_by_title(good), bad
+    return finished(union_sources(kept), annotations, order, settings), union_sources(rejected)

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from jobstrata.catalog import stream_queries
+from jobstrata.catalog import cleaning_queries, stream_queries
 from jobstrata.operators import listings
+from jobstrata.plans.enrichment import enrich, enrich_by_title
 from jobstrata.sources.tables import spread
 
 
@@ -48,3 +49,18 @@ def test_plain_reading_equals_the_full_parser(monkeypatch):
 def test_pages_are_dealt_by_their_number(spark):
     """Narrow rows that become pages: a task holds at most so many of them."""
     assert spread(spark.range(0, 1000, 1, 1), 50).rdd.getNumPartitions() == 20
+
+
+def test_titles_are_judged_once(spark, sf_dir):
+    """The rule tables lie above the count of titles, so rows with one title are judged together."""
+    for name in ("enrich", "extract_company", "classify_category", "split_accept_reject"):
+        plan = cleaning_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        counts = [i for i, line in enumerate(plan) if "Aggregate [title" in line or "Aggregate [_groupingexpression" in line or "Aggregate [CASE" in line]
+        judged = [i for i, line in enumerate(plan) if "RLIKE" in line or "mobijake" in line]
+        assert judged and max(judged) < max(counts), name
+
+
+def test_enriching_by_title_equals_enriching_rows(spark):
+    rows = spark.createDataFrame([("a", "Estágio Marketing - Lisboa", "20100102"), ("b", "Estágio Marketing - Lisboa", None), ("c", None, "20110203")],
+                                 "record_id string, title string, arquivo_timestamp string")
+    assert sorted(map(str, enrich_by_title(rows).select(enrich(rows).columns).collect())) == sorted(map(str, enrich(rows).collect()))
