@@ -74,7 +74,8 @@ def _apply_map(col: Column, letters) -> Column:
     table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
 
     def expand(out):
-        holds = out.rlike(r"[^\x00-\x7F]") & out.rlike(_char_class(a for a, _ in multi))
+        # every such character lies beyond ASCII: that settles most characters before the many ranges are tried
+        holds = out.rlike(rf"[\x{{80}}-\x{{10FFFF}}&&{_char_class(a for a, _ in multi)}]")
         pieces = F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
         return F.when(holds, F.array_join(pieces, "")).otherwise(out)
 
@@ -96,24 +97,45 @@ def fold(col: Column) -> Column:
 
 def repair_mojibake(col: Column) -> Column:
     """Undo UTF-8 text that was read as Latin-1; anything else is only trimmed."""
-    marked = col.rlike("[ÃÂ]|â€")
-    latin1 = col.rlike(r"^[\x{0}-\x{FF}]*$")
-    repaired = F.try_validate_utf8(F.encode(F.when(latin1, col), "ISO-8859-1").cast("string"))
-    broken = ~is_ascii(col) & marked & latin1
-    return strip(F.when(broken, F.coalesce(repaired, col)).otherwise(col))
+    def repair(text):
+        marked = text.rlike("[ÃÂ]|â€")
+        latin1 = text.rlike(r"^[\x{0}-\x{FF}]*$")
+        repaired = F.try_validate_utf8(F.encode(F.when(latin1, text), "ISO-8859-1").cast("string"))
+        return strip(F.when(~is_ascii(text) & marked & latin1, F.coalesce(repaired, text)).otherwise(text))
+
+    return let(col, repair)
+
+
+def is_blank_repaired(col: Column) -> Column:
+    """True where ``repair_mojibake`` leaves nothing; a letter or digit near the start settles it without a repair."""
+    return ~F.substring(col, 1, 100).rlike("[0-9A-Za-z]") & (repair_mojibake(col) == "")
 
 
 def normalize_text(col: Column) -> Column:
     """Repair, compatibility-decompose, drop marks, lower-case; null becomes empty."""
-    full = F.lower(_apply_map(repair_mojibake(col), compat_map()))
-    return F.coalesce(F.when(is_ascii(col), F.lower(strip(col))).otherwise(full), F.lit(""))
+    def normal(text):
+        full = F.lower(_apply_map(repair_mojibake(text), compat_map()))
+        return F.coalesce(F.when(is_ascii(text), F.lower(strip(text))).otherwise(full), F.lit(""))
+
+    return let(col, normal)
+
+
+#: What separates words in the normal form of the search side.
+SEPARATORS = "[^a-z0-9+#.-]+"
+
+
+def search_fold(col: Column) -> Column:
+    """The normal form of the search side before its separators become single spaces."""
+    def flat(text):
+        full = F.lower(_apply_map(repair_mojibake(text), fold_map()))
+        return F.when(is_ascii(text), F.lower(text)).otherwise(full)
+
+    return let(col, flat)
 
 
 def search_normalize(col: Column) -> Column:
     """Normal form of titles, categories and queries on the search side."""
-    full = F.lower(_apply_map(repair_mojibake(col), fold_map()))
-    flat = F.when(is_ascii(col), F.lower(col)).otherwise(full)
-    return F.btrim(F.regexp_replace(flat, r"(?U)(?:[^a-z0-9+#.-]|\s)+", " "))
+    return F.btrim(F.regexp_replace(search_fold(col), SEPARATORS, " "))
 
 
 def heal_lost_bytes(col: Column, repairs) -> Column:

@@ -1,15 +1,15 @@
 """Keyword trends, suggestions, label matching and sampling over a search corpus.
 
-The corpus is (year, title, category, url) plus the normal forms of title and category,
-computed once.  A batch of queries meets the corpus through an equality join on one word
-per query, never by comparing every query with every row.
+The corpus is (year, title, category, url), with repaired texts.  Queries are matched in the folded
+texts, where any run of separators stands for the space of a normal form.  A batch of queries meets the
+corpus through an equality join on one word per query, never by comparing every query with every row.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata import vocab
-from jobstrata.functions.text import repair_mojibake, search_normalize
+from jobstrata.functions.text import SEPARATORS, is_blank_repaired, let, repair_mojibake, search_fold, search_normalize
 from jobstrata.functions.urls import safe_external_url
 from jobstrata.operators.aggregates import top_per_group
 
@@ -20,14 +20,12 @@ STABLE_BAND = 0.002
 
 
 def search_corpus(df: DataFrame, fallback_url: str = "https://example.org/") -> DataFrame:
-    """Corpus rows with repaired texts and normal forms; rows without year or title are dropped."""
-    fixed = df.withColumns({
-        "title": repair_mojibake(F.coalesce("title", F.lit(""))),
+    """Corpus rows with repaired texts; rows without year or title are dropped."""
+    known = df.filter(F.col("year").isNotNull() & F.col("title").isNotNull() & ~is_blank_repaired(F.col("title")))
+    return known.withColumns({
+        "title": repair_mojibake(F.col("title")),
         "category": repair_mojibake(F.coalesce("category", F.lit(""))),
         "url": safe_external_url(F.col("url"), fallback_url),
-    }).filter(F.col("year").isNotNull() & (F.col("title") != ""))
-    return fixed.withColumns({
-        "norm_title": search_normalize(F.col("title")), "norm_category": search_normalize(F.col("category")),
     })
 
 
@@ -35,18 +33,26 @@ def year_totals(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("year").agg(F.count(F.lit(1)).alias("total"))
 
 
+def _normal(corpus: DataFrame, query: str) -> str:
+    """The query's normal form as a constant, so that its pattern is compiled once and not for every row."""
+    return corpus.sparkSession.range(1).select(search_normalize(F.lit(query))).head()[0]
+
+
 def _boundary(query):
-    return F.concat(F.lit(r"(^|[^a-z0-9])\Q"), query, F.lit(r"\E($|[^a-z0-9])"))
+    """Pattern of a normal form between non-alphanumeric characters of a folded text."""
+    words = F.replace(query, F.lit(" "), F.lit(rf"\E{SEPARATORS}\Q"))
+    return F.concat(F.lit(r"(^|[^a-z0-9])\Q"), words, F.lit(r"\E($|[^a-z0-9])"))
 
 
-def _hit(query: str):
-    q = search_normalize(F.lit(query))
-    return (F.length(q) >= MIN_QUERY_LENGTH) & (F.rlike("norm_title", _boundary(q)) | F.rlike("norm_category", _boundary(q)))
+def _hit(q: str):
+    pattern = _boundary(F.lit(q))
+    return F.lit(len(q) >= MIN_QUERY_LENGTH) & (
+        F.rlike(search_fold(F.col("title")), pattern) | F.rlike(search_fold(F.col("category")), pattern))
 
 
 def matches(corpus: DataFrame, query: str) -> DataFrame:
     """Rows whose title or category holds the query between non-alphanumeric characters."""
-    return corpus.filter(_hit(query))
+    return corpus.filter(_hit(_normal(corpus, query)))
 
 
 def _share(count, total):
@@ -56,7 +62,7 @@ def _share(count, total):
 def keyword_trend(corpus: DataFrame, query: str, totals: DataFrame = None) -> DataFrame:
     """Matches per known year, zero-filled, with the share of the year; one pass over the texts."""
     if totals is None:
-        counted = corpus.groupBy("year").agg(F.count_if(_hit(query)).alias("count"), F.count(F.lit(1)).alias("total"))
+        counted = corpus.groupBy("year").agg(F.count_if(_hit(_normal(corpus, query))).alias("count"), F.count(F.lit(1)).alias("total"))
         return counted.select("year", "count", "total", _share(F.col("count"), F.col("total")).alias("share"))
     counted = matches(corpus, query).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     count = F.coalesce("n", F.lit(0))
@@ -108,15 +114,18 @@ def keyword_trend_batch(corpus: DataFrame, queries: DataFrame, query: str = "que
     asked = queries.select(F.col(query)).distinct().withColumn("q", normal)
     keyed = asked.filter(F.length("q") >= MIN_QUERY_LENGTH).withColumn(
         "key", F.coalesce(F.try_element_at(runs, F.lit(1)), F.lit("")))
-    both = F.concat_ws(" ", "norm_title", "norm_category")
-    words = F.filter(F.split(both, "[^a-z0-9]+"), lambda r: r != "")
-    marked = F.when(both.rlike(r"[+#.\-]"), F.array_append(words, F.lit(""))).otherwise(words)
+    def words(folded):
+        runs = F.array_distinct(F.array_remove(F.split(folded, "[^a-z0-9]+"), ""))
+        return F.when(folded.rlike(r"[+#.\-]"), F.array_append(runs, F.lit(""))).otherwise(runs)
+
     # only a hash of the text passes the explode and the word join; the texts meet the few pairs that are left
-    text_id = F.xxhash64("norm_title", "norm_category").alias("text_id")
-    pairs = corpus.select(text_id, F.explode(F.array_distinct(marked)).alias("key")).join(keyed, "key").select(
+    text_id = F.xxhash64("title", "category").alias("text_id")
+    both = F.concat_ws(" ", search_fold(F.col("title")), search_fold(F.col("category")))
+    pairs = corpus.select(text_id, F.explode(let(both, words)).alias("key")).join(keyed, "key").select(
         "text_id", query, "q").distinct()
-    hit = F.rlike("norm_title", _boundary(F.col("q"))) | F.rlike("norm_category", _boundary(F.col("q")))
-    texts = corpus.select(text_id, "year", "norm_title", "norm_category")
+    hit = F.rlike("folded_title", _boundary(F.col("q"))) | F.rlike("folded_category", _boundary(F.col("q")))
+    texts = corpus.select(text_id, "year", search_fold(F.col("title")).alias("folded_title"),
+                          search_fold(F.col("category")).alias("folded_category"))
     counted = texts.join(pairs, "text_id").filter(hit).groupBy(query, "year").agg(F.count(F.lit(1)).alias("n"))
     # zero-filling: one row per query and known year is the result itself
     known = totals.agg(F.collect_list(F.struct("year", "total"))).scalar()

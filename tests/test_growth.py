@@ -1,11 +1,14 @@
 """Tables as large ones come: folders of files, many rows a group."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from jobstrata.catalog import cleaning_queries, stream_queries
-from jobstrata.operators import listings
+from jobstrata.catalog import cleaning_queries, search_queries, stream_queries
+from jobstrata.functions.text import search_normalize
+from jobstrata.operators import listings, search
 from jobstrata.plans.enrichment import enrich, enrich_by_title
 from jobstrata.sources.tables import spread
 
@@ -64,3 +67,27 @@ def test_enriching_by_title_equals_enriching_rows(spark):
     rows = spark.createDataFrame([("a", "Estágio Marketing - Lisboa", "20100102"), ("b", "Estágio Marketing - Lisboa", None), ("c", None, "20110203")],
                                  "record_id string, title string, arquivo_timestamp string")
     assert sorted(map(str, enrich_by_title(rows).select(enrich(rows).columns).collect())) == sorted(map(str, enrich(rows).collect()))
+
+
+def test_texts_are_folded_once_a_pass(spark, sf_dir):
+    """A match folds title and category once each, however often the fold uses its value, and its pattern is a constant."""
+    corpus = search_queries.document_corpus(spark, sf_dir)
+    plan = search.matches(corpus, "The Theré").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2
+    assert r"(^|[^a-z0-9])\Qthe\E[^a-z0-9+#.-]+\Qthere\E($|[^a-z0-9])" in plan
+
+
+def test_folded_texts_match_as_normal_forms_do(spark):
+    """Separators in a folded text stand for the spaces of the normal form, at its ends too."""
+    texts = ["The  --  Theré", "the\n\tthere", "the-there", "the+there", "xthe there", "¡the, there!\n", "a the ß there", "the  theres",
+             "of c++ and", "c++x", "x　the there ", "Ã©the there", "the" + " " * 20000 + "there", ""]
+    rows = spark.createDataFrame([(2000 + i % 2, t, c, i) for i, t in enumerate(texts) for c in ("k", None)], "year int, title string, category string, id int")
+    corpus = search.search_corpus(rows.withColumn("url", F.lit("x")))
+    for query in ("the there", "c++", "The", "of C++", "k", "***"):
+        form = spark.range(1).select(search_normalize(F.lit(query))).head()[0]
+        pattern = re.compile(f"(^|[^a-z0-9]){re.escape(form)}($|[^a-z0-9])")
+        normal = corpus.select("id", search_normalize(F.col("title")).alias("t"), search_normalize(F.col("category")).alias("c")).collect()
+        want = sorted(r.id for r in normal if len(form) >= 3 and (pattern.search(r.t) or pattern.search(r.c)))
+        assert sorted(r.id for r in search.matches(corpus, query).select("id").collect()) == want, query
+        batch = search.keyword_trend_batch(corpus, spark.createDataFrame([(query,)], "query string"))
+        assert batch.agg(F.sum("count")).head()[0] == len(want), query
