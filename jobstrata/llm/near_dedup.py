@@ -161,8 +161,8 @@ def _stars(votes):
     return counted.withColumn("place", F.row_number().over(most)).where("place <= 2").select("a", "b")
 
 
-def _central(rows):
-    """Pairs of each node with the most central node of its key, where that is of another component.
+def _middles(rows):
+    """The most central node of each key, as center, and its component, as other.
 
     Central is the node that meets most others in its keys: the text that copies were made from, or the copy nearest
     to it. So it has links to more of the key than the smallest node has.
@@ -170,20 +170,44 @@ def _central(rows):
     sizes = rows.groupBy("key").agg(F.count("*").alias("held"))
     weights = rows.join(sizes, "key").groupBy("rep").agg(F.sum("held").alias("weight"))
     best = rows.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "component")).alias("best"))
-    middle = best.select("key", (-F.col("best.minus")).alias("b"), F.col("best.component").alias("other"))
-    return _stars(rows.join(middle, "key").where("component <> other").select(F.col("rep").alias("a"), "b"))
+    return best.select("key", (-F.col("best.minus")).alias("center"), F.col("best.component").alias("other"))
+
+
+def _central(rows):
+    """Pairs of each node with the most central node of its key, where that is of another component."""
+    return _stars(rows.join(_middles(rows), "key").where("component <> other").select(F.col("rep").alias("a"), F.col("center").alias("b")))
+
+
+def _placed(rows, texts):
+    """The rows (key, rep, component, n) with inside and outside: the shingles that some other component holds, apart
+    by whether the most central node of the key holds them too."""
+    rows = saved(rows.select("key", "rep", "component", "n").join(_middles(rows).select("key", "center"), "key"), PAIRS)
+    sets = saved(_shingles(texts, rows))
+    spread = sets.groupBy("shingle").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    shared = sets.join(spread.select("shingle"), "shingle").select("rep", "shingle")
+    centers = rows.select("center").distinct()
+    held = sets.join(centers, sets["rep"] == centers["center"]).select("center", "shingle", F.lit(1).alias("here"))
+    counted = (rows.select("rep", "center").distinct().join(shared, "rep").join(held, ["center", "shingle"], "left")
+               .groupBy("rep", "center").agg(F.count("here").alias("inside"), F.count_if(F.col("here").isNull()).alias("outside")))
+    return rows.join(counted, ["rep", "center"]).select("key", "rep", "component", "n", "inside", "outside")
 
 
 def _pairs(rows, percent):
-    """Pairs of different components within the bound, each from the first key that both have, so none comes twice."""
+    """Pairs of different components within the bound, each from the first key that both have, so none comes twice.
+
+    What two nodes share lies inside the most central node of the key or outside of it: at most the smaller inside and
+    the smaller outside. A copy that has no link to the center lacks too much inside, so it meets only those
+    that may share its own changes; without the split it would meet every member of a large group of copies.
+    """
     number, every = F.shiftright("key", 48), range(COORDINATES)
     wide = rows.groupBy("rep").agg(*(F.max(F.when(number == j, F.col("key"))).alias(f"key{j}") for j in every))
     rows = rows.join(wide, "rep")
-    names = ["rep", "component", "n", "common", *(f"key{j}" for j in every)]
+    names = ["rep", "component", "n", "inside", "outside", *(f"key{j}" for j in every)]
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
     first = F.coalesce(*(F.when(F.col(f"key{j}_a") == F.col(f"key{j}_b"), F.lit(j)) for j in every))
+    most = F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")
     return (a.join(b, "key").where(F.col("component_a") < F.col("component_b"))
-            .where((100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_a") + F.col("n_b")))
+            .where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
             .where(first == number).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
 
 
@@ -202,8 +226,8 @@ def near_duplicates(docs, percent=85):
        its key groups (the two that most keys name), never with the whole group.
     3. Where a key group still holds several components, its nodes are compared with its most central text.
     4. Where it holds several even so, nodes that cannot reach another component for
-       want of common shingles drop out, twice; pairs between what is left of different components, and
-       within the same bound, are compared exactly. Pairs inside a component are never made.
+       want of common shingles drop out, twice; pairs between what is left of different components, and within
+       a bound that counts apart what the central text holds, are compared exactly. Pairs inside a component are never made.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = saved(signatures(text))
@@ -224,7 +248,7 @@ def near_duplicates(docs, percent=85):
     rows = _mixed(_labelled(rows.select("key", "rep"), found))
     rows = saved(_narrowed(saved(rows), texts, percent))
     rows = saved(_narrowed(rows, texts, percent))
-    pairs = _pairs(rows, percent)
+    pairs = _pairs(_placed(rows, texts), percent)
     found = components(links.union(confirmed(saved(pairs, PAIRS), texts, percent)))
 
     named = saved(_labelled(sets, found).select("h1", "h2", "component"), PAIRS)
