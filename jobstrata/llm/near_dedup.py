@@ -180,15 +180,31 @@ def _central(rows):
 
 def _placed(rows, texts):
     """The rows (key, rep, component, n) with inside and outside: the shingles that some other component holds, apart
-    by whether the most central node of the key holds them too."""
+    by whether the most central node of the key holds them too.
+
+    They are gathered by text and compared with the center's set, so there is a row for each text and center and none for each shingle of those.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("rep", "center", "inside", "outside")])
+
+    def run(batches):
+        for part in arrays.pieces(batches, "text"):
+            values, at = shingle_sets(part.column("text"))
+            lists = part.column("shared")
+            shared, sizes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(part)), sizes)
+            salt = arrays.mix(np.arange(len(part), dtype=np.uint64))
+            held = np.isin(shared ^ salt[owner], values ^ salt[arrays.owners(at)])
+            inside = np.bincount(owner[held], minlength=len(part))
+            yield arrays.record_batch(schema, part.column("rep"), part.column("center"), inside, sizes - inside)
+        arrays.release()
+
     rows = saved(rows.select("key", "rep", "component", "n").join(_middles(rows).select("key", "center"), "key"), PAIRS)
-    sets = saved(_shingles(texts, rows))
+    sets = _shingles(texts, rows)
     spread = sets.groupBy("shingle").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
-    shared = sets.join(spread.select("shingle"), "shingle").select("rep", "shingle")
-    centers = rows.select("center").distinct()
-    held = sets.join(centers, sets["rep"] == centers["center"]).select("center", "shingle", F.lit(1).alias("here"))
-    counted = (rows.select("rep", "center").distinct().join(shared, "rep").join(held, ["center", "shingle"], "left")
-               .groupBy("rep", "center").agg(F.count("here").alias("inside"), F.count_if(F.col("here").isNull()).alias("outside")))
+    shared = sets.join(spread.select("shingle"), "shingle").groupBy("rep").agg(F.collect_list("shingle").alias("shared"))
+    counted = (rows.select("rep", "center").distinct().join(shared, "rep")
+               .join(texts.select(F.col("rep").alias("center"), "text"), "center").select("rep", "center", "shared", "text")
+               .mapInArrow(run, "rep long, center long, inside long, outside long"))
     return rows.join(counted, ["rep", "center"]).select("key", "rep", "component", "n", "inside", "outside")
 
 
