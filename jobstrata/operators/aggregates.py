@@ -108,6 +108,42 @@ def top_per_group(frame: DataFrame, group, order, k: int) -> DataFrame:
     return frame.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def most_frequent(rows: DataFrame, group: str, term: str, k: int, cells: int = 1 << 16, first: int = 1000) -> DataFrame:
+    """The k most frequent terms of each group of a few, ties to the smaller term: group, term, count; counted when called.
+
+    Where most terms are rare, counting them all shuffles nearly every row.  So cells of a hash are counted
+    first: no term is more frequent than its cell.  The terms of the ``first`` fullest cells of a group are
+    counted exactly, and if the k-th of them is above every other cell, they are the result.  If not, the terms
+    of all cells that reach it are counted, so the result is exact in any case.
+    """
+    placed = rows.withColumn("_cell", F.xxhash64(term).bitwiseAND(F.lit(cells - 1)))
+    loads = placed.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_load"))
+    spark, fullest = rows.sparkSession, {}
+    for r in top_per_group(loads, group, [F.col("_load").desc(), "_cell"], first + 1).collect():
+        fullest.setdefault(r[group], []).append((r["_load"], r["_cell"]))
+
+    def counted(wanted):
+        exact = placed.join(wanted, [group, "_cell"], "left_semi").groupBy(group, term).agg(F.count(F.lit(1)).alias("count"))
+        return top_per_group(exact, group, [F.col("count").desc(), term], k)
+
+    kind, others, chosen = rows.schema[group].dataType.simpleString(), {}, []
+    for value, held in fullest.items():
+        held.sort(key=lambda x: (-x[0], x[1]))
+        others[value] = held[first][0] if len(held) > first else 0
+        chosen += [(value, cell) for _, cell in held[:first]]
+    top = counted(spark.createDataFrame(chosen, f"`{group}` {kind}, _cell long"))
+    found = top.collect()
+    least = {value: 1 for value in fullest}
+    for value in fullest:
+        counts = [r["count"] for r in found if r[group] == value]
+        if len(counts) == k:
+            least[value] = min(counts)
+    if all(least[value] > others[value] for value in fullest):
+        return spark.createDataFrame(found, top.schema)
+    bounds = spark.createDataFrame(list(least.items()), f"`{group}` {kind}, _least long")
+    return counted(loads.join(bounds, group).where("_load >= _least").select(group, "_cell"))
+
+
 def top_by_period(cube: DataFrame, column: str, periods, k: int, denominator: str = "period_rows") -> DataFrame:
     """Top values of each period with their share of the period.
 

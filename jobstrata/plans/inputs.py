@@ -30,8 +30,8 @@ class PostingCubes:
         return self._rows(columns)
 
     def shared(self, *frames) -> "PostingCubes":
-        """Persist the frames several sections read: all of them, or those named of base, company, token and bigram."""
-        makers = {"company": self._company, "token": self._tokens, "bigram": self._bigrams}
+        """Persist the frames several sections read: all of them, or those named of base, company and token."""
+        makers = {"company": self._company, "token": self._tokens}
         frames = frames or ("base", *makers)
         if "base" in frames:
             self._base = count_cube(self.rows(*BASE_KEYS, "record_id", *FLAGS), *BASE_KEYS).persist()
@@ -58,7 +58,7 @@ class PostingCubes:
         return self._held.get("token") or self._tokens()
 
     def bigram_counts(self) -> DataFrame:
-        return self._held.get("bigram") or self._bigrams()
+        return self.bigram_rows().groupBy("year", "bigram").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def flag_cube(self) -> DataFrame:
         """Row counts of every combination of flags: at most 2^flags rows."""
@@ -77,11 +77,10 @@ class PostingCubes:
             F.count(F.lit(1)).alias("n_rows")
         )
 
-    def _bigrams(self):
+    def bigram_rows(self) -> DataFrame:
+        """Every bigram of every title with its year, uncounted."""
         kept = self._titles().select("year", tokens(F.col("title"), self.settings.stopwords).alias("kept"))
-        return kept.select("year", F.explode(bigrams(F.col("kept"))).alias("bigram")).groupBy("year", "bigram").agg(
-            F.count(F.lit(1)).alias("n_rows")
-        )
+        return kept.select("year", F.explode(bigrams(F.col("kept"))).alias("bigram"))
 
 
 __all__ = ["PostingCubes", "BASE_KEYS", "MEASURES"]

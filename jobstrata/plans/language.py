@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobstrata.functions.metrics import descending, pct, period_name, rounded
 from jobstrata.functions.text import tokens
-from jobstrata.operators.aggregates import label_of, top_per_group
+from jobstrata.operators.aggregates import label_of, most_frequent, top_per_group
 from jobstrata.plans.registry import section
 
 
@@ -16,11 +16,9 @@ def _with_period(cubes, frame):
     return frame.withColumn("period", period_name(F.col("year"), cubes.settings.periods)).filter("period IS NOT NULL")
 
 
-def _top_terms(cubes, counts, term, k):
+def _with_share(cubes, top, term):
     periods = cubes.settings.periods
     ads = _with_period(cubes, cubes.cube("year")).groupBy("period").agg(F.sum("n_rows").alias("_ads"))
-    per_term = _with_period(cubes, counts).groupBy("period", term).agg(F.sum("n_rows").alias("count"))
-    top = top_per_group(per_term, "period", descending("count", term), k)
     return top.join(ads, "period").select(
         term, "count", "period", label_of(F.col("period"), periods).alias("period_label"),
         pct(F.col("count"), F.col("_ads")).alias("share_of_ads"),
@@ -29,19 +27,20 @@ def _top_terms(cubes, counts, term, k):
 
 @section("lang.keywords_by_period")
 def keywords_by_period(cubes, k=30):
-    return _top_terms(cubes, cubes.token_counts().withColumnRenamed("token", "keyword"), "keyword", k)
+    counts = cubes.token_counts().withColumnRenamed("token", "keyword")
+    per_term = _with_period(cubes, counts).groupBy("period", "keyword").agg(F.sum("n_rows").alias("count"))
+    return _with_share(cubes, top_per_group(per_term, "period", descending("count", "keyword"), k), "keyword")
 
 
 @section("lang.bigrams_by_period")
 def bigrams_by_period(cubes, k=15):
-    return _top_terms(cubes, cubes.bigram_counts(), "bigram", k)
+    return _with_share(cubes, most_frequent(_with_period(cubes, cubes.bigram_rows()), "period", "bigram", k), "bigram")
 
 
 @section("lang.bigrams_global")
 def bigrams_global(cubes, k=40):
-    return cubes.bigram_counts().groupBy("bigram").agg(F.sum("n_rows").alias("count")).orderBy(
-        *descending("count", "bigram")
-    ).limit(k)
+    top = most_frequent(cubes.bigram_rows().select(F.lit(0).alias("every"), "bigram"), "every", "bigram", k)
+    return top.select("bigram", "count").orderBy(*descending("count", "bigram")).limit(k)
 
 
 def emergence_table(cubes, candidates="first_seen"):
