@@ -4,7 +4,10 @@ Stopwords are dropped inside the token array, before anything is exploded, and c
 combined in the map tasks, so a hot token costs one small row per task in the shuffle.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from jobstrata.functions.metrics import descending, pct, period_name, rounded
 from jobstrata.functions.text import tokens
@@ -43,6 +46,15 @@ def bigrams_global(cubes, k=40):
     return top.select("bigram", "count").orderBy(*descending("count", "bigram")).limit(k)
 
 
+def _place(rows, order):
+    """What orders the rows. A single whole number, as here, leaves room for a position within 2^31 to be added: Spark holds the
+    minimum of a decimal in a hash table, while that of a struct makes every task sort all its tokens."""
+    if len(order) > 1 or not isinstance(rows.schema[order[0]].dataType, IntegralType):
+        return F.struct(*order)
+    number = F.coalesce(F.col(order[0]).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)))
+    return (number * F.lit(Decimal(2**31))).cast("decimal(37,0)")
+
+
 def emergence_table(cubes, candidates="first_seen"):
     """Share change of candidate keywords between the first and the last period.
 
@@ -55,10 +67,10 @@ def emergence_table(cubes, candidates="first_seen"):
     in_last = F.col("year").between(last.start, last.end)
     rows = cubes.rows("year", "title", *cubes.order).filter(in_first | in_last).filter("title IS NOT NULL")
     # distinct tokens of a title keep their order of first use; counts ride along
-    kept = rows.select(in_last.alias("is_last"), F.struct(*cubes.order).alias("ord"),
+    kept = rows.select(in_last.alias("is_last"), _place(rows, cubes.order).alias("ord"),
                        tokens(F.col("title"), s.stopwords).alias("kept"))
     seen = kept.select("is_last", "ord", F.posexplode("kept").alias("pos", "keyword"))
-    at = F.struct("ord", "pos")
+    at = F.struct("ord", "pos") if isinstance(seen.schema["ord"].dataType, StructType) else F.col("ord") + F.col("pos")
     per_token = seen.groupBy("keyword").agg(
         F.count_if(~F.col("is_last")).alias("n_first"), F.count_if("is_last").alias("n_last"),
         F.min(F.when(~F.col("is_last"), at)).alias("at_first"), F.min(F.when(F.col("is_last"), at)).alias("at_last"),
