@@ -126,6 +126,7 @@ def fit(docs):
                 yield arrays.record_batch(
                     schema, langs.dictionary.take(pa.array(pair % len(langs.dictionary))).cast(pa.string()),
                     np.full(len(pair), size, np.int32), arrays.signed(unique)[pair // len(langs.dictionary)], n)
+        arrays.release()
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, size int, gram long, n long").groupBy(
         "lang", "size", "gram").agg(F.sum("n").alias("n"))

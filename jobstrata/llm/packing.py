@@ -84,6 +84,7 @@ def windows(docs, path, window=WINDOW):
             raw, first = memoryview(ids.astype("<u4").tobytes()), (rows[owner] + start) * 4
             crcs = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + length * 4).tolist())]
             yield arrays.record_batch(schema, batch.column("doc_id").take(pa.array(owner)), start, length, crcs, counts[owner])
+            arrays.release()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
@@ -152,6 +153,7 @@ def pack(docs, path, window=WINDOW, group_tokens=GROUP_TOKENS):
         table = table.take(order)
         number, offset = best_fit(table.column("length").to_numpy(), window)
         sequence = (key[0].as_py() << 32) + number
+        arrays.release()
         return (table.drop_columns(["group", "place"]).append_column("sequence_id", pa.array(sequence, pa.int64()))
                 .append_column("offset", pa.array(offset, pa.int64())))
 

@@ -188,6 +188,7 @@ def without_repeats(docs, passage=PASSAGE, prefix=PREFIX):
                 kept.append(raw[last:bounds[span["start"]]])
                 last = bounds[span["stop"]]
             out.append(np.concatenate([*kept, raw[last:]]).tobytes().decode())
+        arrays.release()
         return pd.Series(out)
 
     joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("_cut_id"), "left").withColumn(
