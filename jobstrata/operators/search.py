@@ -5,8 +5,11 @@ texts, where any run of separators stands for the space of a normal form.  A bat
 corpus through an equality join on one word per query, never by comparing every query with every row.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from jobstrata import vocab
 from jobstrata.functions.text import SEPARATORS, is_blank_repaired, let, repair_mojibake, search_fold, search_normalize
@@ -135,22 +138,57 @@ def keyword_trend_batch(corpus: DataFrame, queries: DataFrame, query: str = "que
         query, "year", count.alias("count"), "total", _share(count, F.col("total")).alias("share"))
 
 
+def _leading(name):
+    """The first 14 bytes of a string as one number, below zero for null: texts with a smaller number come first.
+
+    Spark holds the minimum of a decimal in a hash table, while that of a string or struct makes every task sort all its rows.
+    """
+    digits = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 14)), 28, "0")
+    high, low = (F.conv(F.substring(digits, at, 14), 16, 10).cast("decimal(17,0)") for at in (1, 15))
+    return F.coalesce((high * F.lit(Decimal(2**56)) + low).cast("decimal(36,0)"), F.lit(Decimal(-1)).cast("decimal(36,0)"))
+
+
+def _spellings(pieces, place):
+    """Every spelling with its count, normal form and first place: label, n, at, norm. Only distinct ones are normalised."""
+    return pieces.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).withColumn(
+        "norm", search_normalize(F.col("label"))).filter(F.length("norm").between(MIN_QUERY_LENGTH, 72))
+
+
+def _first_spellings(pieces, order):
+    """The first spelling in row order and the count of each normal form: norm, n, label; counted when called for text order.
+
+    Text orders rows by its leading bytes; only where several spellings of a form agree on these are their rows
+    compared as a whole, in a second pass that is left out if there are none.
+    """
+    whole = F.struct(*order, "part")
+    if len(order) > 1 or pieces.schema[order[0]].dataType != StringType():
+        return _spellings(pieces, whole).groupBy("norm").agg(F.sum("n").alias("n"), F.min_by("label", "at").alias("label"))
+    place = _leading(order[0])
+    spelled = _spellings(pieces, place)
+    counted = spelled.groupBy("norm").agg(
+        F.sum("n").alias("n"), F.min("at").alias("at"), F.min_by("label", F.struct("at", "label")).alias("label"),
+        F.max_by("label", F.struct(-F.col("at"), "label")).alias("other"))
+    counted = counted.checkpoint() if pieces.sparkSession.sparkContext.getCheckpointDir() else counted.localCheckpoint()
+    level = counted.filter("label <> other").select("norm", "at")
+    if level.isEmpty():
+        return counted.select("norm", "n", "label")
+    level = level.join(spelled, ["norm", "at"]).select("norm", "at", "label")
+    rows = pieces.join(level, "label").filter(place == F.col("at"))
+    exact = rows.groupBy("norm").agg(F.min_by("label", F.struct(whole, "label")).alias("exact"))
+    return counted.join(exact, "norm", "left").select("norm", "n", F.coalesce("exact", "label").alias("label"))
+
+
 def suggestions(corpus: DataFrame, order, labels: DataFrame = None, k: int = 50) -> DataFrame:
     """Most frequent titles and categories by normal form; the first spelling is shown.
 
     ``labels`` are the report's category labels: each counts once more and comes first.
     """
     order = [order] if isinstance(order, str) else list(order)
-    at = F.struct(*order, "part")
     pieces = corpus.select(*order, F.inline(F.array(
         F.struct(F.lit(1).alias("part"), F.col("title").alias("label")),
         F.struct(F.lit(2).alias("part"), F.col("category").alias("label")),
     ))).filter("label <> ''")
-    # spellings are counted first, so only distinct ones are normalised
-    spelled = pieces.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"))
-    counted = spelled.withColumn("norm", search_normalize(F.col("label"))).filter(
-        F.length("norm").between(MIN_QUERY_LENGTH, 72)
-    ).groupBy("norm").agg(F.sum("n").alias("n"), F.min_by("label", "at").alias("label"))
+    counted = _first_spellings(pieces, order)
     if labels is not None:
         named = labels.select(F.col("label").alias("given")).withColumn("norm", search_normalize(F.col("given")))
         named = named.filter(F.length("norm").between(MIN_QUERY_LENGTH, 72)).groupBy("norm").agg(
