@@ -1,6 +1,6 @@
 """Column-level building blocks of the report.
 
-Rounding is half-even everywhere; aggregates are one-pass and mergeable so Spark can
+Rounding of the report is half-even, that of search shares half-up; aggregates are one-pass and mergeable so Spark can
 combine them on the map side before any shuffle.
 """
 
@@ -12,6 +12,11 @@ def rounded(col: Column, digits: int = 4) -> Column:
     return F.bround(col, digits)
 
 
+def half_up(col: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as SQL rounds doubles; ``F.round`` rounds the shortest decimal that stands for one."""
+    return F.round(col * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from jobstrata import vocab
+from jobstrata.functions.metrics import half_up, ratio
 from jobstrata.functions.text import SEPARATORS, is_blank_repaired, let, repair_mojibake, search_fold, search_normalize
 from jobstrata.functions.urls import safe_external_url
 from jobstrata.operators.aggregates import top_per_group
@@ -22,10 +23,10 @@ MIN_YEARS = 2
 STABLE_BAND = 0.002
 
 
-def search_corpus(df: DataFrame, fallback_url: str = "https://example.org/") -> DataFrame:
-    """Corpus rows with repaired texts; rows without year or title are dropped."""
-    known = df.filter(F.col("year").isNotNull() & F.col("title").isNotNull() & ~is_blank_repaired(F.col("title")))
-    return known.withColumns({
+def search_corpus(df: DataFrame, fallback_url: str = "https://example.org/", untitled: bool = False) -> DataFrame:
+    """Corpus rows with repaired texts; rows without year or title are dropped, or kept to be counted if ``untitled``."""
+    titled = F.col("year").isNotNull() & F.col("title").isNotNull() & ~is_blank_repaired(F.col("title"))
+    return (df if untitled else df.filter(titled)).withColumns({
         "title": repair_mojibake(F.col("title")),
         "category": repair_mojibake(F.coalesce("category", F.lit(""))),
         "url": safe_external_url(F.col("url"), fallback_url),
@@ -59,13 +60,14 @@ def matches(corpus: DataFrame, query: str) -> DataFrame:
 
 
 def _share(count, total):
-    return F.coalesce(F.round(F.try_divide(count.cast("double"), total.cast("double")), 5), F.lit(0.0))
+    return F.coalesce(half_up(ratio(count, total), 5), F.lit(0.0))
 
 
 def keyword_trend(corpus: DataFrame, query: str, totals: DataFrame = None) -> DataFrame:
-    """Matches per known year, zero-filled, with the share of the year; one pass over the texts."""
+    """Matches per known year, zero-filled, with the share of the year; one pass over the texts. Rows without a year match nothing."""
     if totals is None:
-        counted = corpus.groupBy("year").agg(F.count_if(_hit(_normal(corpus, query))).alias("count"), F.count(F.lit(1)).alias("total"))
+        hit = F.col("year").isNotNull() & _hit(_normal(corpus, query))
+        counted = corpus.groupBy("year").agg(F.count_if(hit).alias("count"), F.count(F.lit(1)).alias("total"))
         return counted.select("year", "count", "total", _share(F.col("count"), F.col("total")).alias("share"))
     counted = matches(corpus, query).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     count = F.coalesce("n", F.lit(0))
@@ -75,14 +77,14 @@ def keyword_trend(corpus: DataFrame, query: str, totals: DataFrame = None) -> Da
 
 def trend_summary(series: DataFrame, keys=()) -> DataFrame:
     """Significance, first and last share, change and verdict of yearly series."""
-    point = F.struct("year", "share")
+    point = F.when(F.col("year").isNotNull(), F.struct("year", "share"))
     ends = series.groupBy(*keys).agg(
         F.sum("count").alias("total_matches"), F.count_if(F.col("count") > 0).alias("years_with_matches"),
         F.min(point).alias("a"), F.max(point).alias("b"),
     )
-    delta = F.round(F.col("b.share") - F.col("a.share"), 5)
+    delta = half_up(F.col("b.share") - F.col("a.share"), 5)
     significant = (F.col("total_matches") >= MIN_MATCHES) & (F.col("years_with_matches") >= MIN_YEARS)
-    change = F.round(F.try_divide(F.col("b.share") - F.col("a.share"), F.nullif(F.col("a.share"), F.lit(0.0))), 4)
+    change = half_up(F.try_divide(F.col("b.share") - F.col("a.share"), F.nullif(F.col("a.share"), F.lit(0.0))), 4)
     return ends.select(
         *keys, "total_matches", "years_with_matches", significant.alias("is_significant"),
         F.col("a.year").alias("first_year"), F.col("b.year").alias("last_year"),
