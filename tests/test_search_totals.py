@@ -24,7 +24,7 @@ def odd(tmp_path_factory, sf_dir):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["keyword_trend"])
+@pytest.mark.parametrize("name", ["keyword_trend", "keyword_trend_batch", "trend_summary_batch", "peak_share"])
 def test_trend_equals_sql(spark, odd, name):
     con, folder = odd
     assert compare(spark, con, name, search_queries.QUERIES[name], search_queries.ORACLES[name], folder) == ""
