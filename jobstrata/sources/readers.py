@@ -8,6 +8,9 @@ from jobstrata.operators.rows import dedup_first
 from jobstrata.schemas import CONSOLIDATED, ENRICHED_CSV, RAW_POSTING
 
 CORRUPT = "_corrupt"
+#: Stands for a field without characters while CSV is read, so that a quoted empty text is not taken for null. Two
+#: noncharacters, which Unicode keeps out of texts.
+MISSING = "\uffff\ufffe"
 
 
 def raw_glob(path: str) -> str:
@@ -35,8 +38,9 @@ def compact_raw(df: DataFrame, order=("row_ord",), columns=CONSOLIDATED) -> Data
 
 
 def read_csv_table(spark: SparkSession, path: str, schema=ENRICHED_CSV) -> DataFrame:
+    """CSV with header; a field without characters is null, a quoted empty one an empty text."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option(
-        "enforceSchema", False).csv(path)
+        "enforceSchema", False).option("nullValue", MISSING).csv(path)
 
 
 def parse_index_lines(lines: DataFrame, line: str = "value", status_position: int = None) -> DataFrame:

@@ -22,8 +22,9 @@ def write_jsonl(df: DataFrame, path: str):
 
 
 def write_csv(df: DataFrame, path: str):
-    """CSV with header, UTF-8 without a byte order mark."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    """CSV with header, UTF-8 without a byte order mark. Texts keep white space at their ends; an empty text is quoted, null is not."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_custom_labels(labels: DataFrame, path: str):
