@@ -24,7 +24,7 @@ from jobstrata.operators.listings import container_profile, era_profile, extract
 from jobstrata.operators.rows import prepare_dataset
 from jobstrata.operators.search import keyword_trend, search_corpus
 from jobstrata.operators.snapshots import cap_per_year, merge_seeds, min_gap_sample_success, min_gap_sample_yearly
-from jobstrata.plans.enrichment import build_marked, mark_sources
+from jobstrata.plans.enrichment import accepted_rows, build_marked, judged_titles, mark_sources
 from jobstrata.plans.inputs import PostingCubes
 from jobstrata.plans.report import build_report, report_document, write_report
 from jobstrata.sources.readers import compact_raw, export_search_corpus, read_annotations, read_raw_json
@@ -72,7 +72,8 @@ def dataset_job(spark, out, sources: dict, annotations: str = None):
         "accepted").parquet(f"{out}/marked")
     marked = spark.read.parquet(f"{out}/marked")
     ann = read_annotations(spark, annotations) if annotations else None
-    write_parquet(build_marked(marked, list(sources), ann), f"{out}/postings")
+    judged_titles(accepted_rows(marked, sources)).write.mode("overwrite").parquet(f"{out}/titles")
+    write_parquet(build_marked(marked, list(sources), ann, titles=spark.read.parquet(f"{out}/titles")), f"{out}/postings")
     write_csv(marked.filter("NOT accepted").select("record_id", "year", "title", "source"), f"{out}/rejected")
 
 

@@ -118,8 +118,12 @@ def discovered_labels(ann: DataFrame, labels=None, aliases=None, threshold: floa
 
 
 def resolve_category(ann: DataFrame, labels=None, aliases=None, threshold: float = 0.75,
-                     fallback=vocab.FALLBACK_CATEGORY) -> DataFrame:
-    """Final category of every annotation (second pass), independent of row order."""
+                     fallback=vocab.FALLBACK_CATEGORY, discovered: DataFrame = None) -> DataFrame:
+    """Final category of every annotation (second pass), independent of row order.
+
+    ``discovered`` are the labels of the first pass where a job has saved them: as Spark knows the size of a saved table, few
+    labels then cost the annotations no shuffle.
+    """
     labels, aliases = labels or vocab.CATEGORY_LABELS, aliases or vocab.CATEGORY_ALIASES
     canonical = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     known = F.col("category").isin(list(labels))
@@ -132,7 +136,8 @@ def resolve_category(ann: DataFrame, labels=None, aliases=None, threshold: float
     keyed = ann.withColumn(
         "_key", F.when(unresolved, F.concat(F.lit("="), "category")).otherwise(F.concat(F.lit("#"), "record_id"))
     )
-    found = discovered_labels(ann, labels, aliases, threshold).select(
+    discovered = discovered_labels(ann, labels, aliases, threshold) if discovered is None else discovered
+    found = discovered.select(
         F.concat(F.lit("="), "category").alias("_key"), F.lit(True).alias("_found")
     )
     keep = known | (alias.isNull() & (own | F.col("_found")))
@@ -147,24 +152,31 @@ def latest_annotations(ann: DataFrame, batch: str) -> DataFrame:
     return dedup_first(ann, "record_id", [F.col(batch).desc(), F.col("category_conf").desc(), F.col("category")])
 
 
-def merge_annotations(df: DataFrame, ann: DataFrame, threshold: float = 0.75, category_threshold: float = 0.65,
-                      fallback=vocab.FALLBACK_CATEGORY, drop_non_jobs: bool = False) -> DataFrame:
-    """Fill missing company and place, and fallback categories, from confident annotations.
+ANSWERS = ["company", "company_conf", "location", "location_conf", "category", "category_conf"]
+
+
+def attach_annotations(df: DataFrame, ann: DataFrame, unique: bool = False, drop_non_jobs: bool = False) -> DataFrame:
+    """The most confident annotation of each posting, as columns of their own that ``fill_from_annotations`` uses up.
 
-    Of several annotations of a record the most confident counts, so a doubled id doubles no posting.
-    Postings without an id match nothing; each gets a key of its own, so they gather in no task.
+    A doubled id doubles no posting. Postings without an id match nothing; each gets a key of its own, so they gather in no task.
+    Where ids are ``unique`` none can gather, and postings that lie by their id are not shuffled again.
     """
-    fields = ["company", "company_conf", "location", "location_conf", "category", "category_conf"]
     named = ann.filter(F.coalesce("record_id", F.lit("")) != "")
-    best = dedup_first(named, "record_id", [*[F.col(c).desc_nulls_last() for c in fields[1::2]], *fields[::2]])
-    side = best.select(F.concat(F.lit("="), "record_id").alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields],
-                       *([F.col("is_job").alias("_is_job")] if drop_non_jobs else []))
-    own = F.concat(F.lit("#"), F.xxhash64(*[c for c in df.columns]).cast("string"))
-    key = F.when(F.coalesce("record_id", F.lit("")) == "", own).otherwise(F.concat(F.lit("="), "record_id"))
-    joined = df.withColumn("_key", key).join(side, "_key", "left").drop("_key")
-    if drop_non_jobs:
-        joined = joined.filter(F.coalesce("_is_job", F.lit(True))).drop("_is_job")
-
+    best = dedup_first(named, "record_id", [*[F.col(c).desc_nulls_last() for c in ANSWERS[1::2]], *ANSWERS[::2]])
+    fields = [*[F.col(c).alias(f"_{c}") for c in ANSWERS], *([F.col("is_job").alias("_is_job")] if drop_non_jobs else [])]
+    if unique:
+        joined = df.join(best.select("record_id", *fields), "record_id", "left")
+    else:
+        own = F.concat(F.lit("#"), F.xxhash64(*[c for c in df.columns]).cast("string"))
+        key = F.when(F.coalesce("record_id", F.lit("")) == "", own).otherwise(F.concat(F.lit("="), "record_id"))
+        side = best.select(F.concat(F.lit("="), "record_id").alias("_key"), *fields)
+        joined = df.withColumn("_key", key).join(side, "_key", "left").drop("_key")
+    return joined.filter(F.coalesce("_is_job", F.lit(True))).drop("_is_job") if drop_non_jobs else joined
+
+
+def fill_from_annotations(df: DataFrame, threshold: float = 0.75, category_threshold: float = 0.65,
+                          fallback=vocab.FALLBACK_CATEGORY) -> DataFrame:
+    """Fill missing company and place, and fallback categories, from the confident ones of the attached annotations."""
     def filled(column, value):
         use = F.col(column).isNull() & (F.coalesce(f"_{value}", F.lit("")) != "") & (
             F.col(f"_{value}_conf") >= threshold)
@@ -174,12 +186,17 @@ def merge_annotations(df: DataFrame, ann: DataFrame, threshold: float = 0.75, ca
         (F.col("job_category") == fallback) & (F.coalesce("_category", F.lit("")) != "")
         & (F.col("_category") != fallback) & (F.col("_category_conf") >= category_threshold)
     )
-    out = joined.withColumns({
+    return df.withColumns({
         "company_extracted": filled("company_extracted", "company"),
         "location_extracted": filled("location_extracted", "location"),
         "job_category": F.when(better, F.col("_category")).otherwise(F.col("job_category")),
-    })
-    return out.select(*df.columns)
+    }).drop(*[f"_{c}" for c in ANSWERS])
+
+
+def merge_annotations(df: DataFrame, ann: DataFrame, threshold: float = 0.75, category_threshold: float = 0.65,
+                      fallback=vocab.FALLBACK_CATEGORY, drop_non_jobs: bool = False) -> DataFrame:
+    """Fill missing company and place, and fallback categories, from confident annotations; the most confident of a record counts."""
+    return fill_from_annotations(attach_annotations(df, ann, False, drop_non_jobs), threshold, category_threshold, fallback).select(*df.columns)
 
 
 def annotation_stats(ann: DataFrame, threshold: float = 0.75) -> DataFrame:
