@@ -117,11 +117,11 @@ def report_columns_query(spark, sf_dir):
     """
     place, parts = work_dir(spark, "report"), []
     of_texts = {name for name in SECTIONS if name.startswith(ON_DOCUMENTS)}
-    reports = (("star", star_cubes, [n for n in SECTIONS if n not in of_texts], ("base", "company")),
-               ("documents", document_cubes, sorted(of_texts), ("token",)))
-    for label, cubes_of, names, frames in reports:
+    reports = (("star", star_cubes, [n for n in SECTIONS if n not in of_texts], ("base", "company"), None),
+               ("documents", document_cubes, sorted(of_texts), ("token",), f"{place}/tokens"))
+    for label, cubes_of, names, frames, folder in reports:
         cubes = cubes_of(spark, sf_dir)
-        saved = write_report(build_report(cubes, names, frames), f"{place}/{label}")
+        saved = write_report(build_report(cubes, names, frames, folder), f"{place}/{label}")
         cubes.release()
         report_document(saved).write.text(f"{place}/{label}-document")
         document = spark.read.text(f"{place}/{label}-document", wholetext=True)

@@ -95,7 +95,7 @@ def annotate_in_job(spark, responses: str, out: str):
 
 def report_job(spark, postings: str, out: str):
     cubes = PostingCubes(prepare_dataset(spark.read.parquet(postings)))
-    saved = write_report(build_report(cubes), f"{out}/sections")
+    saved = write_report(build_report(cubes, folder=f"{out}/tokens"), f"{out}/sections")
     cubes.release()
     write_document(report_document(saved), f"{out}/document")
 

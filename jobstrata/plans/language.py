@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 from jobstrata.functions.metrics import descending, pct, period_name, rounded
-from jobstrata.functions.text import tokens
 from jobstrata.operators.aggregates import label_of, most_frequent, top_per_group
 from jobstrata.plans.registry import section
 
@@ -65,10 +64,9 @@ def emergence_table(cubes, candidates="first_seen"):
     first, last = s.periods[0], s.periods[-1]
     in_first = F.col("year").between(first.start, first.end)
     in_last = F.col("year").between(last.start, last.end)
-    rows = cubes.rows("year", "title", *cubes.order).filter(in_first | in_last).filter("title IS NOT NULL")
+    rows = cubes.title_tokens().filter(in_first | in_last)
     # distinct tokens of a title keep their order of first use; counts ride along
-    kept = rows.select(in_last.alias("is_last"), _place(rows, cubes.order).alias("ord"),
-                       tokens(F.col("title"), s.stopwords).alias("kept"))
+    kept = rows.select(in_last.alias("is_last"), _place(rows, cubes.order).alias("ord"), "kept")
     seen = kept.select("is_last", "ord", F.posexplode("kept").alias("pos", "keyword"))
     at = F.struct("ord", "pos") if isinstance(seen.schema["ord"].dataType, StructType) else F.col("ord") + F.col("pos")
     per_token = seen.groupBy("keyword").agg(
@@ -99,9 +97,9 @@ def emergence_table(cubes, candidates="first_seen"):
 
 @section("lang.emergence")
 def emergence(cubes, k=20):
-    return emergence_table(cubes).orderBy(F.col("share_delta").desc(), "keyword").limit(k)
+    return cubes.once("emergence", lambda: emergence_table(cubes)).orderBy(F.col("share_delta").desc(), "keyword").limit(k)
 
 
 @section("lang.decline")
 def decline(cubes, k=20):
-    return emergence_table(cubes).orderBy(F.col("share_delta").asc(), "keyword").limit(k)
+    return cubes.once("emergence", lambda: emergence_table(cubes)).orderBy(F.col("share_delta").asc(), "keyword").limit(k)

@@ -21,9 +21,10 @@ SCHEMA_VERSION = "3.0"
 OPEN_SECTIONS = ("loc.flags_min20", "dq.place_names_as_company")
 
 
-def build_report(cubes: PostingCubes, names=None, frames=()) -> dict:
-    """Section name → DataFrame over shared, persisted inputs (all, or the named frames); call ``cubes.release()`` after use."""
-    cubes.shared(*frames)
+def build_report(cubes: PostingCubes, names=None, frames=(), folder: str = None) -> dict:
+    """Section name → DataFrame over shared, persisted inputs (all, or the named frames; tokens in ``folder`` if given); call
+    ``cubes.release()`` after use."""
+    cubes.shared(*frames, folder=folder)
     return {name: SECTIONS[name](cubes) for name in (names or SECTIONS)}
 
 
