@@ -7,6 +7,7 @@ from jobstrata.catalog import report_queries
 from jobstrata.functions.text import bigrams, tokens
 from jobstrata.plans.inputs import PostingCubes
 from jobstrata.plans.report import build_report, write_report
+from jobstrata.streaming.files import written
 
 TEXTS = ("lang.keywords_by_period", "lang.bigrams_by_period", "lang.bigrams_global", "lang.emergence", "lang.decline", "deep_dive.top_keywords")
 
@@ -42,3 +43,8 @@ def test_bigram_rows_are_all_pairs(spark, words):
     kept = tokens(F.lit(" ".join(words)), cubes.settings.stopwords)
     want = spark.range(1).select(F.explode(bigrams(kept))).collect()
     assert sorted(r.bigram for r in cubes.bigram_rows().collect()) == sorted(r[0] for r in want)
+
+
+def test_a_frame_is_written_again(spark, tmp_path):
+    for n in (5, 3):
+        assert written(spark.range(n), f"{tmp_path}/frame").count() == n
